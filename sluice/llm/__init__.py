@@ -1,7 +1 @@
 """Operators of a large-scale training-data pipeline.  Nothing outside this package imports it."""
-
-import sluice.llm as _self
-from pyspark import cloudpickle
-
-# Functions of this package travel to Python workers by value, so executors need no copy of it.
-cloudpickle.register_pickle_by_value(_self)

@@ -110,3 +110,32 @@ def seeded(seed: int, *cols) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def whole(df: DataFrame, name: str = "row") -> Column:
+    """All columns of a row as one struct, so that helper columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def unwrap(df: DataFrame, like: DataFrame, name: str = "row") -> DataFrame:
+    return df.select(*[F.col(f"{name}.`{c}`").alias(c) for c in like.columns])
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, once per context, as a zip that the driver serves."""
+    context = spark.sparkContext
+    if getattr(context, "_sluice_shipped", False):
+        return
+    import pathlib
+    import zipfile
+
+    import sluice
+
+    top = pathlib.Path(sluice.__file__).parent
+    if top.suffix == "" and top.is_dir():
+        out = pathlib.Path(tempfile.mkdtemp(prefix="sluice-code-")) / "sluice_code.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for f in [top / "__init__.py", *sorted((top / "llm").glob("*.py"))]:
+                z.write(f, f.relative_to(top.parent))
+        context.addPyFile(str(out))
+    context._sluice_shipped = True

@@ -116,3 +116,82 @@ def shingle_sets(array, width: int = 5):
             yield sequence_hash(hashed[a:b], b - a)
         else:
             yield runs[:0]
+
+
+class Lookup:
+    """Places of 64-bit keys in an array, for many queries at once; -1 where a key is unknown."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.asarray(keys, np.uint64)
+        n = len(self.keys)
+        self.shift = _M(64 - max(4, int(4 * n).bit_length()))
+        slot = (self.keys >> self.shift).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        ranked = slot[order]
+        depth = np.arange(n) - np.searchsorted(ranked, ranked)
+        self.levels = []
+        for d in range(int(depth.max()) + 1 if n else 0):
+            level = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+            at = order[depth == d]
+            level[slot[at]] = at
+            self.levels.append(level)
+
+    def __call__(self, query: np.ndarray) -> np.ndarray:
+        out = np.full(len(query), -1, np.int32)
+        slot = (query >> self.shift).astype(np.int64)
+        open_ = np.arange(len(query))
+        for level in self.levels:
+            at = level[slot[open_]]
+            there = at >= 0
+            open_, at = open_[there], at[there]
+            same = self.keys[at] == query[open_]
+            out[open_[same]] = at[same]
+            open_ = open_[~same]
+        return out
+
+
+_fold: list = []
+
+
+def folded(array) -> pa.Array:
+    """The texts with A-Z and Latin-1 capitals lowered and every other ASCII character but a-z as a space."""
+    if not _fold:
+        lut = np.arange(256, dtype=np.uint8)
+        lut[:128] = 0x20
+        lut[97:123] = np.arange(97, 123)
+        lut[65:91] = np.arange(97, 123)
+        _fold.append(lut)
+    data, offsets = raw(array)
+    out = _fold[0][data]
+    capital = np.zeros(len(data), bool)
+    capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out[capital] += 0x20
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out))
+
+
+class Grams:
+    """Hashes of character n-grams of a string array: of() takes character places, bounds() a word's characters."""
+
+    def __init__(self, array):
+        self.data, _ = raw(array)
+        codes, _, up, self.down = _tables(len(self.data) + 1)
+        with np.errstate(over="ignore"):
+            self.total = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(codes[self.data] * up[: len(self.data)], out=self.total[1:])
+        self.starts = np.append(np.flatnonzero((self.data & 0xC0) != 0x80), len(self.data))
+
+    def bounds(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(self.starts, start), np.searchsorted(self.starts, end)
+
+    def of(self, at: np.ndarray, n: int) -> np.ndarray:
+        a, b = self.starts[at], self.starts[at + n]
+        with np.errstate(over="ignore"):
+            return mix((self.total[b] - self.total[a]) * self.down[a] + _M(n) * _STEP[1])
+
+
+def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place) of every place in first[i]:last[i]."""
+    size = last - first
+    owner = np.repeat(np.arange(len(first)), size)
+    begin = np.cumsum(size) - size
+    return owner, np.arange(int(size.sum())) - begin[owner] + first[owner]
