@@ -18,11 +18,13 @@ from sluice.llm.langid import remainder
 
 #: Labelled documents of each class to learn from (chosen by a hash of the id).
 SAMPLE = 2500
-SLOTS = 1 << 16
-DIM = 6
+SLOTS = 1 << 20
+DIM = 4
 ORDERS = (3, 4, 5)
-STEPS = 60
-RATE = 0.15
+STEPS = 80
+RATE = 0.2
+#: Standard errors by which an n-gram's share of texts must differ between the classes to get a vector.
+LEAST_Z = 5.0
 FOLDS, HELD = 5, 0
 
 
@@ -68,43 +70,70 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(mean + self.bias, -40, 40)))
 
 
+def telling(slot, edges, row, col, labels: np.ndarray, slots: int, least: float = LEAST_Z) -> np.ndarray:
+    """Whether the classes' shares of texts that hold a slot differ by at least least standard errors."""
+    held = np.zeros((2, slots), np.int64)
+    ends = np.append(edges, len(slot))
+    cut = np.searchsorted(row, np.arange(len(labels) + 1))
+    for i, label in enumerate(labels):
+        words = col[cut[i] : cut[i + 1]]
+        held[int(label), np.unique(slot[T.spread(ends[words], ends[words + 1])[1]])] += 1
+    n = np.bincount(labels.astype(int), minlength=2)
+    share, both = held / n[:, None], held.sum(0) / n.sum()
+    error = np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
+    return np.abs(share[1] - share[0]) >= least * np.maximum(error, 1e-9)
+
+
 def fit(texts: pa.Array, labels: np.ndarray, steps: int = STEPS, dim: int = DIM, slots: int = SLOTS, rate: float = RATE, seed: int = 3) -> Model:
-    """Trains table, softmax and bias together with Adam over all given texts."""
-    if len(labels) == 0 or labels.min() == labels.max():
-        sure = 0.0 if len(labels) == 0 else (5.0 if labels[0] else -5.0)
-        return Model(np.zeros(slots), sure if len(labels) else -5.0)
+    """Trains table, softmax and bias together with Adam over all given texts.
+
+    N-grams whose share of texts hardly differs between the classes keep the zero vector: averaged over a long text
+    they would only add noise.  Both classes weigh alike.
+    """
+    if not len(labels) or labels.min() == labels.max():
+        return Model(np.zeros(slots, np.float32), 5.0 if len(labels) and labels[0] else -5.0)
     array = T.folded(texts)
     start, end, key, kind, first = _types(array)
     owner, slot = subwords(array, start, end, key, slots)
-    parts = np.bincount(owner, minlength=len(start)).astype(np.float32)
+    docs, size = len(labels), np.maximum(np.diff(first), 1)
+    pair, times = np.unique(np.repeat(np.arange(docs), np.diff(first)) * len(start) + kind, return_counts=True)
+    row, col = pair // len(start), pair % len(start)  # (text, word) with its share of the text
     edges = np.searchsorted(owner, np.arange(len(start)))
-    docs = len(labels)
-    doc_of = np.repeat(np.arange(docs), np.diff(first))
-    pair, times = np.unique(doc_of * len(start) + kind, return_counts=True)  # (text, word) with its count
-    row, col = pair // len(start), pair % len(start)
-    share = (times / np.maximum(np.diff(first), 1)[row]).astype(np.float32)
+    parts = np.bincount(owner, minlength=len(start))
+    real = telling(slot, edges, row, col, labels, slots)
+    # from here on only n-grams that tell, the words that hold one, and their places in texts
+    keep = real[slot]
+    ids, slot = np.unique(slot[keep], return_inverse=True)
+    used, owner = np.unique(owner[keep], return_inverse=True)
+    place = np.full(len(start), -1)
+    place[used] = np.arange(len(used))
+    there = place[col] >= 0
+    row, col, share = row[there], place[col[there]], (times / size[row])[there]
+    share = share / parts[used][col]
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.3, (slots, dim)).astype(np.float32)
-    soft = rng.normal(0, 0.3, (dim, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft, bias)]
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())).astype(np.float32)
-    truth = np.stack([labels == 0, labels == 1], 1).astype(np.float32)
+    table, soft, bias = rng.normal(0, 0.1, (len(ids), dim)), rng.normal(0, 1, (dim, 2)), np.zeros(2)
+    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, soft, bias)]
+    weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())[:, None]
+    truth = np.stack([labels == 0, labels == 1], 1)
+
+    def gather(at, values, count):
+        return np.stack([np.bincount(at, values[:, d], count) for d in range(values.shape[1])], 1)
+
     for step in range(1, steps + 1):
-        word = np.stack([np.add.reduceat(table[slot, d], edges) for d in range(dim)], 1) / parts[:, None]
-        text = np.stack([np.bincount(row, share * word[col, d], docs) for d in range(dim)], 1).astype(np.float32)
+        word = gather(owner, table[slot], len(used))
+        text = gather(row, share[:, None] * word[col], docs)
         logit = text @ soft + bias
         p = np.exp(logit - logit.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        err = (p - truth) * weight[:, None]
-        to_text = err @ soft.T
-        to_word = np.stack([np.bincount(col, share * to_text[row, d], len(start)) for d in range(dim)], 1) / parts[:, None]
-        to_table = np.stack([np.bincount(slot, to_word[owner, d], slots) for d in range(dim)], 1).astype(np.float32)
-        for value, grad, (m, v) in zip((table, soft, bias), (to_table, text.T @ err, err.sum(0)), state):
+        error = (p / p.sum(1, keepdims=True) - truth) * weight
+        to_word = gather(col, share[:, None] * (error @ soft.T)[row], len(used))
+        grads = gather(slot, to_word[owner], len(ids)), text.T @ error, error.sum(0)
+        for value, grad, (m, v) in zip((table, soft, bias), grads, state):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
+    out = np.zeros(slots, np.float32)
+    out[ids] = table @ (soft[:, 1] - soft[:, 0])
+    return Model(out, float(bias[1] - bias[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 9) -> Model:
