@@ -163,3 +163,29 @@ def language_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = remainder(F.col("doc_id"), FOLDS) == HELD
     model = train(rows.where(F.col("lang").isNotNull() & ~held), sample)
     return identify(rows.select("doc_id", held.alias("held_out"), "text"), model)
+
+
+def drop_unidentified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, unchanged, whose language is told with a score of least or more.
+
+    Rejected: texts that are null or have no letter, and those torn between languages.  With nothing to learn from,
+    only the former go.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    model = train(rows.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD)), sample)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+    # columns travel by place, so that their names cannot clash
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def run(batches):
+        model = shared.value
+        for piece in T.slices(batches, f"c{at}"):
+            if model.langs:
+                s = model.scores(piece.column(at))
+                piece = piece.filter(pa.array(1 / np.exp(s - s.max(1, keepdims=True)).sum(1) >= least))
+            yield piece
+
+    kept = plain.where(F.col(f"c{at}").rlike(r"\p{L}")).mapInArrow(run, plain.schema)
+    return kept.toDF(*docs.columns)
