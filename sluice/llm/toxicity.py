@@ -70,6 +70,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(mean + self.bias, -40, 40)))
 
 
+def _bag(texts: pa.Array, slots: int):
+    """(slots of all distinct words, where each word's begin; text, word, and the word's share of the text).
+
+    Goes through the texts in slices, so that only their distinct words are held together.
+    """
+    keys, sizes, held, rows, words, shares = [], [], [], [], [], []
+    done = 0
+    for piece in T.slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
+        array = T.folded(piece.column(0))
+        start, end, key, kind, first = _types(array)
+        n = np.diff(first)
+        if len(start):
+            owner, slot = subwords(array, start, end, key, slots)
+            sizes.append(np.bincount(owner, minlength=len(start)))
+            held.append(slot)
+            keys.append(key)
+            pair, times = np.unique(np.repeat(np.arange(len(n)), n) * len(start) + kind, return_counts=True)
+            rows.append((pair // len(start) + done).astype(np.int32))
+            words.append(key[pair % len(start)])
+            shares.append((times / n[pair // len(start)]).astype(np.float32))
+        done += len(n)
+    if not keys:
+        none = np.zeros(0, np.int32)
+        return none, none, none, none, np.zeros(0, np.float32)
+    key, at = np.unique(np.concatenate(keys), return_index=True)
+    size = np.concatenate(sizes)
+    begin = np.cumsum(size) - size
+    _, place = T.spread(begin[at], begin[at] + size[at])
+    slot = np.concatenate(held)[place]
+    edges = np.cumsum(size[at]) - size[at]
+    return slot, edges, np.concatenate(rows), np.searchsorted(key, np.concatenate(words)), np.concatenate(shares)
+
+
 def telling(slot, edges, row, col, labels: np.ndarray, slots: int, least: float = LEAST_Z) -> np.ndarray:
     """Whether the classes' shares of texts that hold a slot differ by at least least standard errors."""
     held = np.zeros((2, slots), np.int64)
@@ -92,23 +125,19 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = STEPS, dim: int = DIM,
     """
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(slots, np.float32), 5.0 if len(labels) and labels[0] else -5.0)
-    array = T.folded(texts)
-    start, end, key, kind, first = _types(array)
-    owner, slot = subwords(array, start, end, key, slots)
-    docs, size = len(labels), np.maximum(np.diff(first), 1)
-    pair, times = np.unique(np.repeat(np.arange(docs), np.diff(first)) * len(start) + kind, return_counts=True)
-    row, col = pair // len(start), pair % len(start)  # (text, word) with its share of the text
-    edges = np.searchsorted(owner, np.arange(len(start)))
-    parts = np.bincount(owner, minlength=len(start))
+    slot, edges, row, col, share = _bag(texts, slots)
+    docs, words = len(labels), len(edges)
+    owner = np.repeat(np.arange(words, dtype=np.int32), np.diff(np.append(edges, len(slot))))
+    parts = np.bincount(owner, minlength=words)
     real = telling(slot, edges, row, col, labels, slots)
     # from here on only n-grams that tell, the words that hold one, and their places in texts
     keep = real[slot]
     ids, slot = np.unique(slot[keep], return_inverse=True)
     used, owner = np.unique(owner[keep], return_inverse=True)
-    place = np.full(len(start), -1)
+    place = np.full(words, -1)
     place[used] = np.arange(len(used))
     there = place[col] >= 0
-    row, col, share = row[there], place[col[there]], (times / size[row])[there]
+    row, col, share = row[there], place[col[there]], share[there]
     share = share / parts[used][col]
     rng = np.random.default_rng(seed)
     table, soft, bias = rng.normal(0, 0.1, (len(ids), dim)), rng.normal(0, 1, (dim, 2)), np.zeros(2)
