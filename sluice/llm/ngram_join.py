@@ -44,8 +44,8 @@ def enough(overlap, a, b):
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """A set's bitmap: about four bits for each shingle, a power of two."""
-    width = min(1 << 16, max(256, 1 << int(4 * len(shingles) - 1).bit_length()))
+    """A set's bitmap: two to four bits for each shingle, a power of two."""
+    width = min(1 << 16, max(256, 1 << int(2 * len(shingles) - 1).bit_length()))
     at = shingles & np.uint64(width - 1)
     out = np.zeros(width // 64, np.uint64)
     np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
@@ -67,8 +67,10 @@ class SignatureTree:
         self.order = np.argsort(sizes, kind="stable")
         self.sizes = np.asarray(sizes, np.int64)[self.order]
         leaves = []
-        for at in range(0, len(self.sizes), LEAF):
-            to = min(at + LEAF, len(self.sizes))
+        to = 0
+        while to < len(self.sizes):
+            # sizes in a leaf are close, so that no bitmap is folded far below its own width
+            at, to = to, min(to + LEAF, int(np.searchsorted(self.sizes, self.sizes[to] * DEN // NUM, "right")))
             words = min(len(maps[i]) for i in self.order[at:to])
             rows = np.stack([fold(maps[i], words) for i in self.order[at:to]])
             # shingles that share a bit with another one of the same set: what a bitmap hides of an overlap
@@ -128,24 +130,25 @@ class SignatureTree:
                 stack += [(x, c) for c in y[8]]
 
 
-def active(sizes: np.ndarray, maps: list[np.ndarray], comps: np.ndarray) -> np.ndarray:
-    """Which members may be similar enough to one of another component."""
+def active(sizes: np.ndarray, maps: list[np.ndarray], homes: np.ndarray) -> np.ndarray:
+    """Which members may be similar enough to one of another home."""
     out = np.zeros(len(sizes), bool)
     for i, j in SignatureTree(sizes, maps).pairs():
-        other = comps[i] != comps[j]
+        other = homes[i] != homes[j]
         out[i[other]] = True
         out[j[other]] = True
     return out
 
 
-def block_links(sets: list[np.ndarray], comps: np.ndarray) -> list[tuple[int, int]]:
-    """Links between members of different components, as many as join all that are linked."""
+def block_links(sets: list[np.ndarray], comps: np.ndarray, homes: np.ndarray) -> list[tuple[int, int]]:
+    """Links between members of different components and homes, as many as join all that are linked."""
     _, root = np.unique(comps, return_inverse=True)
     root = root.copy()
     sizes = np.array([len(s) for s in sets], np.int64)
     links = []
     for i, j in SignatureTree(sizes, [bitmap(s) for s in sets]).pairs():
-        for a, b in zip(i, j):
+        other = homes[i] != homes[j]
+        for a, b in zip(i[other], j[other]):
             if root[a] != root[b] and enough(_overlap(sets[a], sets[b]), sizes[a], sizes[b]):
                 links.append((int(a), int(b)))
                 root[root == root[b]] = root[a]
@@ -173,8 +176,8 @@ def _prefix(shingles: np.ndarray, find, weight: np.ndarray) -> np.ndarray:
     return np.concatenate((rare, shingles[often[: count - len(rare)]]))
 
 
-def _sig(shingles: np.ndarray) -> str:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest()
+def _sig(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=12).digest()
 
 
 def _sets(batches, column: str = "text"):
@@ -200,20 +203,20 @@ def _survey(rows: DataFrame) -> DataFrame:
     of text has in two sets or more."""
 
     def run(batches):
-        for piece in T.slices(batches, "text", 1 << 22):
+        for piece in T.slices(batches):
             sets = list(T.shingle_sets(piece.column(2), WIDTH))
             sigs = [_sig(s) for s in sets]
             n = pa.array([len(s) for s in sets], pa.int64())
             kind = np.zeros(len(sets), np.int32)
             names = ["kind", "doc_id", "key", "n", "sig"]
-            yield pa.RecordBatch.from_arrays([pa.array(kind), piece.column(0), piece.column(1), n, pa.array(sigs, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), piece.column(0), piece.column(1), n, pa.array(sigs, pa.binary())], names)
             once = list({g: s for g, s in zip(sigs, sets)}.values())
             key, times = np.unique(np.concatenate(once), return_counts=True)
             key, times = key[times > 1], times[times > 1]
             none = pa.nulls(len(key), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), none, pa.array(key.view(np.int64)), pa.array(times.astype(np.int64)), pa.nulls(len(key), pa.string())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), none, pa.array(key.view(np.int64)), pa.array(times.astype(np.int64)), pa.nulls(len(key), pa.binary())], names)
 
-    return rows.mapInArrow(run, "kind int, doc_id long, key long, n long, sig string")
+    return rows.mapInArrow(run, "kind int, doc_id long, key long, n long, sig binary")
 
 
 def _each_set(batches):
@@ -231,58 +234,44 @@ def _groups(texts: DataFrame, often: tuple, scratch: Scratch, broadcast_rows: in
     spark = texts.sparkSession
     frequent = spark.sparkContext.broadcast(often)  # at most MOST_FREQUENT keys
 
-    def prefixes(batches):
+    def members(batches):
         find = T.Lookup(frequent.value[0])
         for s, sig in _each_set(batches):
-            p = _prefix(s, find, frequent.value[1])
-            yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), int(sig[:15], 16)))], ["w", "label"])
-
-    def merged(batches, rows: int = 1 << 16):
-        held, size = [], 0
-        for b in prefixes(batches):
-            held.append(b)
-            size += b.num_rows
-            if size >= rows:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    met = texts.mapInArrow(merged, "w long, label long").groupBy("w")
+            yield sig, len(s), bitmap(s).tobytes(), _prefix(s, find, frequent.value[1]).view(np.int64)
+
+    schema = [("sig", pa.binary()), ("n", pa.int64()), ("bits", pa.binary()), ("ws", pa.list_(pa.int64()))]
+    found = scratch.write(texts.mapInArrow(lambda b: _batches(members(b), schema), "sig binary, n long, bits binary, ws array<long>"))
+    # prefix shingles of one class only need no partner; nor do the copies of a class
+    met = found.select(F.explode("ws").alias("w"), F.xxhash64("sig").alias("label")).groupBy("w")
     met = met.agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
     met = scratch.write(met.select("w", "m"))
-    small = met.count() <= broadcast_rows
-    wanted = np.sort(met.select("w").toArrow().column(0).to_numpy().view(np.uint64)) if small else None
-    shared = spark.sparkContext.broadcast(wanted)  # checked above
-
-    def members(batches):
-        find, keep = T.Lookup(frequent.value[0]), shared.value
-        for s, sig in _each_set(batches):
-            p = _prefix(s, find, frequent.value[1])
-            if keep is not None:
-                if not len(keep):
-                    continue
-                at = np.searchsorted(keep, p)
+    if met.count() <= broadcast_rows:
+        wanted = spark.sparkContext.broadcast(np.sort(met.select("w").toArrow().column(0).to_numpy()))  # checked
+
+        def meeting(batches):
+            keep = wanted.value
+            for b in batches:
+                ws = b.column(1)
+                w = ws.flatten().to_numpy()
+                owner = np.repeat(np.arange(b.num_rows), np.diff(ws.offsets.to_numpy()))
+                at = np.searchsorted(keep, w)
                 at[at == len(keep)] = 0
-                p = p[keep[at] == p]
-            if len(p):
-                yield sig, len(s), bitmap(s).tobytes(), p.view(np.int64)
-
-    schema = [("sig", pa.string()), ("n", pa.int64()), ("bits", pa.binary()), ("ws", pa.list_(pa.int64()))]
-    found = scratch.write(texts.mapInArrow(lambda b: _batches(members(b), schema), "sig string, n long, bits binary, ws array<long>"))
-    rows = found.select(F.explode("ws").alias("w"), "sig").distinct()
-    if not small:
-        rows = rows.join(met, "w", "left_semi")
+                there = keep[at] == w if len(keep) else np.zeros(len(w), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(w[there]), b.column(0).take(pa.array(owner[there]))], ["w", "sig"])
+
+        rows = found.select("sig", "ws").mapInArrow(meeting, "w long, sig binary").distinct()
+    else:
+        rows = found.select(F.explode("ws").alias("w"), "sig").join(met, "w", "left_semi").distinct()
     sizes = met.where(F.col("m") > group).select("w", "m")
     sizes = scratch.write(sizes)
-    large = rows.join(sizes, "w").select(F.col("w").alias("gid"), "sig") if sizes.limit(1).count() else None
+    large = rows.join(sizes, "w").select(F.col("w").alias("gid"), "sig", F.lit(1).cast("long").alias("shared")) if sizes.limit(1).count() else None
     if large is not None:
         rows = rows.join(sizes, "w", "left_anti")
         large = scratch.write(large)
     # at most group members each; groups with the same members are one
     lists = rows.groupBy("w").agg(F.array_sort(F.collect_set("sig")).alias("sigs")).where(F.size("sigs") > 1)
-    lists = lists.groupBy(F.xxhash64("sigs").alias("h"), "sigs").agg(F.min("w").alias("gid"))
-    rows = scratch.write(lists.select("gid", F.explode("sigs").alias("sig")))
+    lists = lists.groupBy(F.xxhash64("sigs").alias("h"), "sigs").agg(F.min("w").alias("gid"), F.count(F.lit(1)).alias("shared"))
+    rows = scratch.write(lists.select("gid", F.explode("sigs").alias("sig"), "shared"))
     return found.select("sig", "n", "bits").dropDuplicates(["sig"]), rows, large
 
 
@@ -303,34 +292,33 @@ def _number(rows: DataFrame, weight: int, per: int) -> int:
 
 
 def _prune(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """(gid, sig, n) of members that a signature tree leaves a possible partner in another component (gid, sig, comp)."""
+    """(gid, sig) of members that a signature tree leaves a possible partner of another home (gid, sig, home)."""
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        gid, sig, comp, n = (t.column(c).to_pylist() for c in ("gid", "sig", "comp", "n"))
+        gid, sig, n = (t.column(c).to_pylist() for c in ("gid", "sig", "n"))
+        home, n = t.column("home").to_numpy(), np.array(n, np.int64)
         bits = t.column("bits").combine_chunks()
-        comp, n = np.array(comp, object), np.array(n, np.int64)
 
         def out():
             for run in _runs(gid):
-                run = np.array(run)
-                if len(run) < 2:
-                    continue
-                maps = [np.frombuffer(bits[int(i)].as_py(), np.uint64) for i in run]
-                for i in run[active(n[run], maps, comp[run])]:
-                    yield gid[i], sig[i], int(n[i])
+                if len(run) > 1:
+                    run = np.array(run)
+                    maps = [np.frombuffer(bits[int(i)].as_py(), np.uint64) for i in run]
+                    for i in run[active(n[run], maps, home[run])]:
+                        yield gid[i], sig[i]
 
-        yield from _batches(out(), [("gid", pa.int64()), ("sig", pa.string()), ("n", pa.int64())])
+        yield from _batches(out(), [("gid", pa.int64()), ("sig", pa.binary())])
 
-    full = rows.join(members, "sig").select("gid", "sig", "comp", "n", "bits")
-    return full.repartition(_number(rows, rows.count(), 40_000), "gid").mapInArrow(run, "gid long, sig string, n long")
+    full = rows.join(members, "sig").select("gid", "sig", "home", "n", "bits")
+    return full.repartition(_number(rows, rows.count(), 40_000), "gid").mapInArrow(run, "gid long, sig binary")
 
 
-def _compare(blocks: DataFrame, sets: DataFrame, weight: int) -> DataFrame:
-    """(a, b): links found in blocks (block, sig, comp)."""
+def _compare(blocks: DataFrame, sets: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(a, b): links found in blocks (block, sig, n, comp, home)."""
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -338,32 +326,36 @@ def _compare(blocks: DataFrame, sets: DataFrame, weight: int) -> DataFrame:
             return
         t = pa.Table.from_batches(parts)
         block, sig, comp = (t.column(c).to_pylist() for c in ("block", "sig", "comp"))
-        data = t.column("shingles").combine_chunks()
+        home, data = t.column("home").to_numpy(), t.column("shingles").combine_chunks()
 
         def out():
             for run in _runs(block):
-                if len(run) < 2:
-                    continue
-                own = [np.frombuffer(data[i].as_py(), np.uint64) for i in run]
-                for a, b in block_links(own, np.array([comp[i] for i in run], object)):
-                    yield sig[run[a]], sig[run[b]]
+                run = list({sig[i]: i for i in run}.values())  # a set may have come from several tasks
+                if len(run) > 1:
+                    own = [np.frombuffer(data[i].as_py(), np.uint64) for i in run]
+                    for a, b in block_links(own, np.array([comp[i] for i in run], object), home[run]):
+                        yield sig[run[a]], sig[run[b]]
 
-        yield from _batches(out(), [("a", pa.string()), ("b", pa.string())])
+        yield from _batches(out(), [("a", pa.binary()), ("b", pa.binary())])
 
-    full = blocks.join(sets, "sig").select("block", "sig", "comp", "shingles")
-    return full.repartition(_number(blocks, weight, BLOCK_SHINGLES), "block").mapInArrow(run, "a string, b string")
+    size = blocks.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
+    side = blocks.select("block", "sig", "comp", "home")
+    if size["rows"] <= broadcast_rows // 8:
+        side = F.broadcast(side)  # checked
+    full = sets.join(side, "sig").select("block", "sig", "comp", "home", "shingles")
+    return full.repartition(_number(blocks, size["n"] or 0, BLOCK_SHINGLES), "block").mapInArrow(run, "a binary, b binary")
 
 
 def _whole_sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
     """(sig, shingles) of the wanted (sig), computed again from one text of each class."""
 
     def run(batches):
-        yield from _batches(((sig, s.tobytes()) for s, sig in _each_set(batches)), [("sig", pa.string()), ("shingles", pa.binary())], 256)
+        yield from _batches(((sig, s.tobytes()) for s, sig in _each_set(batches)), [("sig", pa.binary()), ("shingles", pa.binary())], 256)
 
     keys = classes.join(wanted, "sig").select(F.col("rep").alias("key"))
     if wanted.count() <= broadcast_rows:
         keys = F.broadcast(keys)  # checked
-    return texts.join(keys, "key", "left_semi").mapInArrow(run, "sig string, shingles binary").dropDuplicates(["sig"])
+    return texts.join(keys, "key", "left_semi").mapInArrow(run, "sig binary, shingles binary")
 
 
 def similar_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, broadcast_rows: int = BROADCAST_ROWS, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
@@ -379,43 +371,53 @@ def similar_classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: st
 
     members, small, large = _groups(texts, often, scratch, broadcast_rows, group)
     members = scratch.write(members)
-    near = _prune(small.withColumn("comp", F.col("sig")), members)
-    if large is not None:
-        near = near.unionByName(large.join(members.select("sig", "n"), "sig").select("gid", "sig", "n"))
-    near = scratch.write(near)
-
-    # each class once, in a block around the least class of its groups; a large block in parts that share some members
-    centres = scratch.write(near.groupBy("gid").agg(F.min("sig").alias("centre")))
-    home = scratch.write(near.join(centres, "gid").groupBy("sig", "n").agg(F.min("centre").alias("centre")))
-    blocks = scratch.write(home.groupBy("centre").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("parts")).where("m > 1"))
-    home = home.join(blocks, "centre")
-    part = F.when(F.pmod(seeded(1, "sig"), F.col("m")) < ANCHORS, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(seeded(2, "sig"), F.col("parts")).cast("int")))
-    home = home.select("sig", "n", F.col("sig").alias("comp"), "centre", F.explode(part).alias("part"))
-    home = scratch.write(home.select("sig", "n", "comp", F.xxhash64("centre", "part").alias("block")))
+    met = small if large is None else scratch.write(small.unionByName(large))
+
+    # every class has one home: the block around that class, the least of its group, with whose groups it shares the
+    # most prefix shingles; a large block comes in parts that have some members in common
+    centres = scratch.write(met.groupBy("gid").agg(F.min("sig").alias("centre")))
+    home = met.join(centres, "gid").groupBy("sig", "centre").agg(F.sum("shared").alias("shared"))
+    home = home.groupBy("sig").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre"))
+    home = scratch.write(home.join(members.select("sig", "n"), "sig"))
+    blocks = scratch.write(home.groupBy("centre").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("parts")))
+    own = F.pmod(seeded(2, "sig"), F.col("parts")).cast("int")
+    every = F.when(F.pmod(seeded(1, "sig"), F.col("m")) < ANCHORS, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
+    home = home.join(blocks, "centre").select("sig", "n", "m", F.xxhash64("centre", own).alias("home"), F.transform(every, lambda p: F.xxhash64("centre", p)).alias("blocks"))
+    home = scratch.write(home)
+    inside = home.where("m > 1").select("sig", "n", F.explode("blocks").alias("gid"))
+    inside = scratch.write(inside)
+    # the tree prunes blocks, then groups whose members have several homes; larger groups go on unpruned
+    first = scratch.write(_prune(inside.select("gid", "sig", F.xxhash64("sig").alias("home")), members))
+    homes = home.select("sig", "n", "home")
+    far = met.drop("shared").join(homes, "sig")
+    split = far.groupBy("gid").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
+    far = scratch.write(far.join(scratch.write(split.select("gid", "m")), "gid"))
+    second = _prune(far.where(F.col("m") <= group).select("gid", "sig", "home"), members).unionByName(far.where(F.col("m") > group).select("gid", "sig"))
+    second = scratch.write(second)
+
     classes = scratch.write(rows.groupBy("sig").agg(F.min("key").alias("rep")))
-    sets = scratch.write(_whole_sets(texts, classes, near.select("sig").distinct(), broadcast_rows))
-    total = int(home.agg(F.sum("n")).first()[0] or 0)
-    links = scratch.write(_compare(home, sets, total).distinct())
+    sets = scratch.write(_whole_sets(texts, classes, scratch.write(first.select("sig").union(second.select("sig")).distinct()), broadcast_rows))
+    near = first.withColumnRenamed("gid", "block").join(home.select("sig", "n"), "sig").select("block", "sig", "n", F.col("sig").alias("comp"), F.xxhash64("sig").alias("home"))
+    links = scratch.write(_compare(scratch.write(near), sets, broadcast_rows).distinct())
     comps = connected_components(scratch, links)
 
-    # groups that still hold several components
-    known = near.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("gid", "sig", "n", F.coalesce("component", "sig").alias("comp"))
-    known = scratch.write(known)
-    split = known.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high").select("gid", "m")
-    split = scratch.write(split)
-    if split.limit(1).count():
-        rest = scratch.write(known.join(split, "gid"))
-        again = _prune(rest.where(F.col("m") <= group).select("gid", "sig", "comp"), members)
-        again = again.join(rest.select("gid", "sig", "comp"), ["gid", "sig"]).select("gid", "sig", "n", "comp", F.array(F.lit("0")).alias("at"))
-        # a group above that size meets in pairs of its parts
+    # groups that still hold several components from several homes
+    known = second.join(homes, "sig").join(comps.withColumnRenamed("node", "sig"), "sig", "left")
+    known = scratch.write(known.select("gid", "sig", "n", "home", F.coalesce("component", "sig").alias("comp")))
+    ends = [f(c).alias(f"{k}_{c}") for c in ("comp", "home") for k, f in (("low", F.min), ("high", F.max))]
+    split = known.groupBy("gid").agg(*ends, F.count(F.lit(1)).alias("m")).where("low_comp <> high_comp and low_home <> high_home")
+    rest = scratch.write(known.join(scratch.write(split.select("gid", "m")), "gid"))
+    if rest.limit(1).count():
+        # groups with the same members are one; a group above the size for one task meets in pairs of its parts
+        same = rest.where(F.col("m") <= group).groupBy("gid").agg(F.array_sort(F.collect_set("sig")).alias("sigs"))
+        same = same.groupBy("sigs").agg(F.min("gid").alias("gid")).select("gid")
         parts = F.ceil(F.col("m") / F.lit(group)).cast("int")
         mine = F.pmod(seeded(3, "sig"), parts).cast("int")
         at = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.concat_ws("-", F.least(x, mine), F.greatest(x, mine)))
-        grid = rest.where(F.col("m") > group).select("gid", "sig", "n", "comp", at.alias("at"))
-        pieces = again.unionByName(grid).select("sig", "n", "comp", "gid", F.explode("at").alias("at"))
-        pieces = scratch.write(pieces.select("sig", "n", "comp", F.xxhash64("gid", "at").alias("block")))
-        total = int(pieces.agg(F.sum("n")).first()[0] or 0)
-        more = scratch.write(_compare(pieces, sets, total).distinct())
+        pieces = rest.join(scratch.write(same), "gid", "left_semi").unionByName(rest.where(F.col("m") > group))
+        pieces = pieces.select("sig", "n", "comp", "home", "gid", F.explode(at).alias("at"))
+        pieces = scratch.write(pieces.select("sig", "n", "comp", "home", F.xxhash64("gid", "at").alias("block")))
+        more = scratch.write(_compare(pieces, sets, broadcast_rows).distinct())
         if more.limit(1).count():
             comps = connected_components(scratch, links.unionByName(more))
     return rows, comps
