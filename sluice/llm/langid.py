@@ -69,7 +69,7 @@ class Model:
 
 def _counts(batches):
     """(lang, order, key, n): order 0 are words as often as they occur, others n-grams of distinct words."""
-    for piece in T.slices(batches, "text", 1 << 22):
+    for piece in T.slices(batches, "text", 1 << 20):
         array = T.folded(piece.column(1))
         langs, lang_of = np.unique(np.array(piece.column(0).to_pylist(), object).astype(str), return_inverse=True)
         start, end, hashed, first = T.words(array)

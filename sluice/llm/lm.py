@@ -119,7 +119,7 @@ def _frequent(rows: DataFrame, most: int) -> np.ndarray:
     only decides by which way a word's exact count travels."""
 
     def count(batches):
-        for piece in T.slices(batches, "text", 1 << 22):
+        for piece in T.slices(batches, "text", 1 << 20):
             key, n = np.unique(_tokens(piece.column(0))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
 
