@@ -17,6 +17,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it; keeps plans small.  No Python UDFs in body."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def any_match(text: Column, patterns: list[str], flags: str = "(?iuU)") -> Column:
     out = F.lit(False)
     for p in patterns:
@@ -45,10 +50,14 @@ def nfkc(text: Column) -> Column:
 
 def _rebuild(text: Column, pattern: str, change) -> Column:
     """text with change applied to every match of pattern: gaps and matches in turn."""
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(gaps, F.transform(hits, change), lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
-    return F.when(text.rlike(pattern), F.concat_ws("", pairs)).otherwise(text)
+
+    def body(t):
+        gaps = F.split(t, pattern, -1)
+        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        pairs = F.zip_with(gaps, F.transform(hits, change), lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
+        return F.when(t.rlike(pattern), F.concat_ws("", pairs)).otherwise(t)
+
+    return let(text, body)
 
 
 def strip_separators(text: Column) -> Column:
@@ -63,6 +72,9 @@ def expand_leet(text: Column) -> Column:
     leet = "".join("\\" + c if c in "$+" else c for c in K.LEET)
 
     def change(token: Column) -> Column:
+        return F.when(token.rlike(f"[{leet}]"), let(token, expand)).otherwise(token)
+
+    def expand(token: Column) -> Column:
         head = F.regexp_extract(token, f"^[{edge}]*", 0)
         core = F.regexp_replace(token, f"^[{edge}]+|[{edge}]+$", "")
         tail = F.substr(token, F.length(head) + F.length(core) + 1)
@@ -78,7 +90,12 @@ def collapse_space(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Invisible characters out, NFKC, separators out, look-alikes expanded, white space collapsed."""
-    return collapse_space(expand_leet(strip_separators(nfkc(strip_invisible(text)))))
+    return after_nfkc(nfkc(strip_invisible(text)))
+
+
+def after_nfkc(text: Column) -> Column:
+    """The steps of normalize that follow NFKC; all of them run in the JVM."""
+    return collapse_space(expand_leet(strip_separators(text)))
 
 
 def _map(values: dict) -> Column:
@@ -126,13 +143,12 @@ def validation_reason(text: Column, max_chars: int = K.MAX_CHARS, max_repeat: in
 
 def keyword_match(text: Column) -> Column:
     """struct(pattern, category) of the first keyword pattern unless an exclusion holds; null without one."""
-    out = F.lit(None).cast("struct<pattern:string,category:string>")
     chain = None
     for p, c in K.KEYWORDS:
         hit, value = text.rlike("(?iusU)" + p), F.struct(F.lit(p).alias("pattern"), F.lit(c).alias("category"))
         chain = F.when(hit, value) if chain is None else chain.when(hit, value)
     # exclusions are looked for only where a pattern holds
-    return F.when(chain.isNotNull(), F.when(~any_match(text, K.KEYWORD_EXCLUSIONS, "(?iuUd)"), chain).otherwise(out)).otherwise(out)
+    return let(chain, lambda m: F.when(m.isNotNull() & ~any_match(text, K.KEYWORD_EXCLUSIONS, "(?iuUd)"), m))
 
 
 # -- injection
@@ -157,8 +173,11 @@ def worst(matches: Column) -> Column:
 
 def injection(text: Column, min_severity: str = "low", extra: list[tuple[str, str, str]] = ()) -> Column:
     """struct(detected, severity, matched_pattern, matches)."""
-    m = injection_matches(text, min_severity, extra)
-    return F.struct((F.size(m) > 0).alias("detected"), worst(m)["severity"].alias("severity"), worst(m)["pattern_label"].alias("matched_pattern"), m.alias("matches"))
+
+    def body(m):
+        return F.struct((F.size(m) > 0).alias("detected"), worst(m)["severity"].alias("severity"), worst(m)["pattern_label"].alias("matched_pattern"), m.alias("matches"))
+
+    return let(injection_matches(text, min_severity, extra), body)
 
 
 def injection_blocks(gate: Column, found: Column) -> Column:

@@ -42,58 +42,76 @@ def screen(df: DataFrame, policy: Screening = Screening(), text: str = "text", g
     and personal data on the normalised text.  The first that blocks ends the chain; later gates then do not run.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    stage = F.col(gate) if gate in df.columns else F.lit("input")
-    work = df.withColumns({"__raw": raw, "__gate": stage})
-    work = work.withColumn("__inj", X.injection(F.col("__raw")) if policy.scan_injection else F.lit(None).cast("struct<detected:boolean,severity:string,matched_pattern:string,matches:array<struct<pattern_label:string,severity:string,matched_text:string>>>"))
-    stopped = X.injection_blocks(F.col("__gate"), F.col("__inj"))
-    work = work.withColumn("__stop", F.when(F.coalesce(stopped, F.lit(False)), "injection"))
-    work = work.withColumn("__reason", F.when(F.col("__stop").isNull(), X.validation_reason(F.col("__raw"))))
-    work = work.withColumn("__kw", F.when(F.col("__stop").isNull() & F.col("__reason").isNull(), X.keyword_match(F.col("__raw"))))
-    open_ = F.col("__stop").isNull() & F.col("__reason").isNull() & F.col("__kw").isNull()
-    work = work.withColumn("__norm", F.when(open_, X.normalize(F.col("__raw"))))
-    work = work.withColumn("__kw2", F.when(open_, X.keyword_match(F.col("__norm"))))
-    prob = policy.classifier(F.col("__norm")) if policy.classifier else F.lit(None).cast("double")
-    work = work.withColumn("__prob", F.when(open_ & F.col("__kw2").isNull(), prob))
-    fast = X.cascade(F.col("__prob"), policy.cascade_mode)["safe"] if policy.classifier else F.lit(True)
-    low = F.coalesce(F.col("__prob"), F.lit(1.0)) < policy.min_confidence
-    unsafe = ~open_ | F.col("__kw2").isNotNull() | (~F.coalesce(fast, F.lit(True)) & ~low)
-    none = F.array().cast(P.ENTITIES)
-    found = none
-    if policy.pii_enabled:
-        recognised = policy.recogniser(F.col("__norm")) if policy.recogniser else None
-        found = F.when(open_, P.detect(F.col("__norm"), list(policy.pii_labels), policy.pii_threshold, list(policy.deny), list(policy.allow), policy.custom_patterns, policy.context_words, recognised)).otherwise(none)
-    work = work.withColumns({"__unsafe": unsafe, "__pii": found})
-    category = F.when(F.col("__stop").isNotNull(), "injection").when(F.col("__reason").isNotNull(), "S0").otherwise(F.coalesce(F.col("__kw.category"), F.col("__kw2.category")))
-    has = F.size("__pii") > 0
-    act = X.action(F.lit(True), ~F.col("__unsafe"), has, F.lit(policy.pii_action))
-    input_ = F.col("__gate").isin(K.INPUT_GATES)
-    by_class = F.when(input_, F.lit(policy.block_on_unsafe_input)).otherwise(F.lit(policy.block_on_unsafe_output))
-    enforced = (act == "block") & (F.col("__stop").isNotNull() | (F.col("__unsafe") & by_class) | (has & F.lit(policy.pii_action == "block")))
-    ran = F.array_compact(
-        F.array(
+    gate_ = F.col(gate) if gate in df.columns else F.lit("input")
+    seen = {"raw": raw, "form": X.nfkc(X.strip_invisible(raw)), "gate": gate_}
+    if policy.classifier:
+        seen["prob"] = policy.classifier(X.normalize(raw))
+    if policy.recogniser:
+        seen["recognised"] = policy.recogniser(X.normalize(raw))
+
+    # each step binds what it found, so that later ones name it without running it again
+    def scan(a):
+        none = F.lit(None).cast("struct<detected:boolean,severity:string,matched_pattern:string>")
+        found = X.injection(a["raw"]) if policy.scan_injection else none
+        return X.let(F.struct(*[found[c].alias(c) for c in ("detected", "severity", "matched_pattern")]), lambda i: validate(a, i))
+
+    def validate(a, i):
+        stop = F.coalesce(X.injection_blocks(a["gate"], i), F.lit(False))
+        return X.let(F.struct(stop.alias("stop"), F.when(~stop, X.validation_reason(a["raw"])).alias("reason")), lambda v: keywords(a, i, v))
+
+    def keywords(a, i, v):
+        return X.let(F.when(~v["stop"] & v["reason"].isNull(), X.keyword_match(a["raw"])), lambda k: normal(a, i, v, k))
+
+    def normal(a, i, v, k):
+        open_ = ~v["stop"] & v["reason"].isNull() & k.isNull()
+        return X.let(F.struct(open_.alias("open"), F.when(open_, X.after_nfkc(a["form"])).alias("text")), lambda n: model(a, i, v, k, n))
+
+    def model(a, i, v, k, n):
+        again = F.when(n["open"], X.keyword_match(n["text"]))["category"]
+        entities = F.array().cast(P.ENTITIES)
+        if policy.pii_enabled:
+            found = P.detect(n["text"], list(policy.pii_labels), policy.pii_threshold, list(policy.deny), list(policy.allow), policy.custom_patterns, policy.context_words, a["recognised"] if policy.recogniser else None)
+            entities = F.when(n["open"], found).otherwise(entities)
+        return X.let(F.struct(again.alias("category"), entities.alias("entities")), lambda m: result(a, i, v, k, n, m))
+
+    def result(a, i, v, k, n, m):
+        unsafe = ~n["open"] | m["category"].isNotNull()
+        confidence = F.lit(1.0)
+        if policy.classifier:
+            fast = X.cascade(a["prob"], policy.cascade_mode)["safe"]
+            unsafe = unsafe | (~F.coalesce(fast, F.lit(True)) & (a["prob"] >= policy.min_confidence))
+            confidence = F.coalesce(a["prob"], confidence)
+        category = F.when(v["stop"], "injection").when(v["reason"].isNotNull(), "S0").otherwise(F.coalesce(k["category"], m["category"]))
+        has = F.size(m["entities"]) > 0
+        act = X.action(F.lit(True), ~unsafe, has, F.lit(policy.pii_action))
+        input_ = a["gate"].isin(K.INPUT_GATES)
+        by_class = F.when(input_, F.lit(policy.block_on_unsafe_input)).otherwise(F.lit(policy.block_on_unsafe_output))
+        enforced = v["stop"] | (unsafe & by_class) | (has & F.lit(policy.pii_action == "block"))
+        ran = F.array(
             F.when(input_ & F.lit(policy.scan_injection), F.lit("injection")),
-            F.when(F.col("__stop").isNull(), F.lit("validation")),
-            F.when(F.col("__stop").isNull() & F.col("__reason").isNull(), F.lit("keyword")),
-            F.when(open_, F.lit("normalize")),
-            F.when(open_ & F.lit(policy.classifier is not None), F.lit("classify")),
-            F.when(open_ & F.lit(policy.pii_enabled), F.lit("pii")),
+            F.when(~v["stop"], F.lit("validation")),
+            F.when(~v["stop"] & v["reason"].isNull(), F.lit("keyword")),
+            F.when(n["open"], F.lit("normalize")),
+            F.when(n["open"] & F.lit(policy.classifier is not None), F.lit("classify")),
+            F.when(n["open"] & F.lit(policy.pii_enabled), F.lit("pii")),
         )
-    )
-    out = F.struct(
-        act.alias("action"),
-        (~F.col("__unsafe")).alias("safe"),
-        (act == "block").alias("blocked"),
-        category.alias("category"),
-        F.when(category.isNotNull(), F.array(category)).otherwise(F.array().cast("array<string>")).alias("categories"),
-        F.coalesce(F.col("__prob"), F.lit(1.0)).alias("confidence"),
-        F.coalesce(F.col("__reason"), F.col("__inj.matched_pattern")).alias("reason"),
-        F.col("__pii").alias("entities"),
-        has.alias("has_pii"),
-        F.when(act == "mask", P.mask(F.col("__norm"), F.col("__pii"))).otherwise(F.col("__raw")).alias("text"),
-        F.coalesce(enforced, F.lit(False)).alias("enforced"),
-        ran.alias("gates_run"),
-    )
-    return work.select(*[F.col(f"`{c}`") for c in df.columns], out.alias("screen"))
+        return F.struct(
+            act.alias("action"),
+            (~unsafe).alias("safe"),
+            (act == "block").alias("blocked"),
+            category.alias("category"),
+            F.array_compact(F.array(category)).alias("categories"),
+            confidence.alias("confidence"),
+            F.coalesce(v["reason"], i["matched_pattern"]).alias("reason"),
+            m["entities"].alias("entities"),
+            has.alias("has_pii"),
+            F.when(act == "mask", P.mask(n["text"], m["entities"])).otherwise(a["raw"]).alias("text"),
+            enforced.alias("enforced"),
+            F.array_compact(ran).alias("gates_run"),
+        )
+
+    out = X.let(F.struct(*[c.alias(k) for k, c in seen.items()]), scan)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns], out.alias("screen"))
 
 
 def enforce(screened: DataFrame) -> tuple[DataFrame, DataFrame]:

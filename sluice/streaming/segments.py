@@ -46,7 +46,7 @@ def segments(chunks: DataFrame, every: int = EVERY, boundary: bool = True) -> Da
     return chunks.groupBy("stream_id").applyInPandas(fold, SCHEMA)
 
 
-def stream_segments(chunks: DataFrame, every: int = EVERY, boundary: bool = True, idle: str = "10 minutes") -> DataFrame:
+def stream_segments(chunks: DataFrame, every: int = EVERY, boundary: bool = True, idle_ms: int = 600_000) -> DataFrame:
     """The same over a streaming table; the buffer is state, and a stream that falls idle flushes."""
 
     def step(key, frames, state: GroupState):
@@ -59,7 +59,7 @@ def stream_segments(chunks: DataFrame, every: int = EVERY, boundary: bool = True
         pdf = pd.concat(list(frames)).sort_values("seq")
         out, buffer, number = gather(zip(pdf["chunk"], pdf["is_final"]), buffer, number, every, boundary)
         state.update((buffer, number))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], *s) for s in out], columns=["stream_id", "segment", "text", "is_final"])
 
     return chunks.groupBy("stream_id").applyInPandasWithState(step, SCHEMA, "buffer string, number int", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -104,8 +104,9 @@ def test_segments(spark):
 def test_streaming_segments(spark, tmp_path):
     schema = "stream_id string, seq int, chunk string, is_final boolean"
     spark.createDataFrame([("s", 0, "Hi. ", False), ("s", 1, "Bye", True)], schema).write.parquet(str(tmp_path / "in"))
-    q = segments.stream_segments(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("segs").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = segments.stream_segments(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("segs").outputMode("append").trigger(once=True).start()
+    q.awaitTermination(60)
+    q.stop()
     assert [(r["text"], r["is_final"]) for r in spark.table("segs").collect()] == [("Hi. Bye", True)]
 
 
