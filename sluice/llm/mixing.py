@@ -17,7 +17,7 @@ from sluice.llm.common import SPACE, Scratch, exact_rank, seeded, ship, whole
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Words of budget that the exact knapsack fits; what is above is first taken in proportion and from the longest down.
+#: Words of budget that are left to the exact knapsack; what is above is taken in proportion and from the longest down.
 EXACT = 4096
 BUCKETS = 4096
 
@@ -58,7 +58,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT
         return take
     if budget >= total:
         return counts.copy()
-    take += np.floor(counts * (budget / total)).astype(np.int64)
+    take += np.floor(counts * (max(0, budget - exact) / total)).astype(np.int64)
     rest = budget - int((take * lengths).sum())
     for i in np.argsort(-lengths):  # the longest first, until an exact fit is small enough
         if rest <= exact:
