@@ -53,7 +53,7 @@ def screen(df: DataFrame, policy: Screening = Screening(), text: str = "text", g
     def scan(a):
         none = F.lit(None).cast("struct<detected:boolean,severity:string,matched_pattern:string>")
         found = X.injection(a["raw"]) if policy.scan_injection else none
-        return X.let(F.struct(*[found[c].alias(c) for c in ("detected", "severity", "matched_pattern")]), lambda i: validate(a, i))
+        return X.let(found, lambda i: validate(a, i))
 
     def validate(a, i):
         stop = F.coalesce(X.injection_blocks(a["gate"], i), F.lit(False))
