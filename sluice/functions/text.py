@@ -1,6 +1,8 @@
 """Column functions over texts: normalisation, validation, keywords, injection, verdicts.  All run in the JVM but NFKC."""
 
+import string
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -117,7 +119,8 @@ def output_gate(gate: Column) -> Column:
 
 def top_word_count(text: Column) -> Column:
     """Count of the most frequent word, of sorted words by run length."""
-    words = F.array_sort(F.split(F.lower(strip(text)), SPACE))
+    # lowered word by word: only words beyond ASCII take the slow case mapping
+    words = F.array_sort(F.transform(F.split(strip(text), SPACE), F.lower))
     start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("most"))
 
     def step(acc, w):
@@ -153,16 +156,64 @@ def keyword_match(text: Column) -> Column:
 
 # -- injection
 
+#: For each injection pattern in turn, ASCII words of which any match holds one; a text without them needs no regular
+#: expression.
+NEEDLES = [
+    ("ignore",),
+    ("disregard",),
+    ("forget",),
+    ("override",),
+    ("ignore", "disregard", "forget"),
+    ("anything",),
+    ("dan",),
+    ("without", "uncensored", "unfiltered"),
+    ("pretend",),
+    ("unrestricted", "without", "unfiltered"),
+    ("role", "pretend", "imagine"),
+    ("hypothetical", "fictional", "imaginary", "story"),
+    ("<|system|>",),
+    ("<|im_start|>",),
+    ("[system]",),
+    ("###",),
+    ("###",),
+    ("<<sys>>",),
+    ("dan",),
+    ("dan",),
+    ("dan", "stan", "dude", "jailbroken", "unrestricted", "developer"),
+    ("rule", "restriction", "limit", "guideline", "filter"),
+    ("mode",),
+    ("mode",),
+    ("prompt", "instruction"),
+    ("your",),
+    ("read", "process", "see"),
+    ("follow", "obey", "execute", "perform"),
+    ("jailbreak", "bypass", "circumvent", "neutralize", "disable"),
+    ("unlock", "remove", "disable"),
+    ("---", "===", "___"),
+]
+
+
+def fold(text: Column) -> Column:
+    """Every character that a pattern takes for an ASCII letter, case aside, as that letter in lower case."""
+    return F.translate(text, string.ascii_uppercase + "\u0130\u0131\u017f\u212a", string.ascii_lowercase + "iisk")
+
 
 def injection_matches(text: Column, min_severity: str = "low", extra: list[tuple[str, str, str]] = ()) -> Column:
     """array of struct(pattern_label, severity, matched_text) for all patterns that hold, one match each."""
-    found = []
-    for p, label, severity in [*K.INJECTION, *extra]:
-        if K.SEVERITY[severity] >= K.SEVERITY[min_severity]:
-            p = "(?uU)" + p
-            item = F.struct(F.lit(label).alias("pattern_label"), F.lit(severity).alias("severity"), F.substring(F.regexp_extract(text, p, 0), 1, 120).alias("matched_text"))
-            found.append(F.when(text.rlike(p), item))
-    return F.array_compact(F.array(*found))
+
+    def body(low: Column) -> Column:
+        found = []
+        for (p, label, severity), needles in [*zip(K.INJECTION, NEEDLES, strict=True), *((e, ()) for e in extra)]:
+            if K.SEVERITY[severity] >= K.SEVERITY[min_severity]:
+                p = "(?uU)" + p
+                item = F.struct(F.lit(label).alias("pattern_label"), F.lit(severity).alias("severity"), F.substring(F.regexp_extract(text, p, 0), 1, 120).alias("matched_text"))
+                hit = text.rlike(p)
+                if needles:
+                    hit = reduce(lambda a, b: a | b, [low.contains(n) for n in needles]) & hit
+                found.append(F.when(hit, item))
+        return F.array_compact(F.array(*found))
+
+    return let(fold(text), body)
 
 
 def worst(matches: Column) -> Column:

@@ -10,6 +10,7 @@ from sluice.functions import pii as P
 from sluice.functions import text as X
 from sluice.operators import grounding, screen, telemetry, vectors
 from sluice.plans import policy
+from sluice.sources.tables import spread
 from sluice.streaming import segments
 
 
@@ -17,12 +18,16 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spread(_t(spark, d, "documents"))
+
+
 def _injection(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.injection(F.col("text")).alias("i")).select("doc_id", "i.detected", "i.severity", "i.matched_pattern", F.size("i.matches").alias("n_matches"))
+    return _docs(spark, d).select("doc_id", X.injection(F.col("text")).alias("i")).select("doc_id", "i.detected", "i.severity", "i.matched_pattern", F.size("i.matches").alias("n_matches"))
 
 
 def _validate(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.validation_reason(F.col("text")).alias("reason"))
+    return _docs(spark, d).select("doc_id", X.validation_reason(F.col("text")).alias("reason"))
 
 
 def _keywords(spark, d):
@@ -31,30 +36,30 @@ def _keywords(spark, d):
 
 
 def _normalize(spark, d):
-    return _t(spark, d, "documents").select("doc_id", X.normalize(F.col("text")).alias("normalized"))
+    return _docs(spark, d).select("doc_id", X.normalize(F.col("text")).alias("normalized"))
 
 
 def _pii(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", F.explode(P.detect(F.col("text"), threshold=0.5)).alias("e"))
+    rows = _docs(spark, d).select("doc_id", F.explode(P.detect(F.col("text"), threshold=0.5)).alias("e"))
     return rows.select("doc_id", "e.label", "e.text", "e.score", "e.start", "e.end")
 
 
 def _pii_labels(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", F.explode(P.regex_entities(F.col("text"), ["email", "ip_address", "aws_key"])).alias("e"))
+    rows = _docs(spark, d).select("doc_id", F.explode(P.regex_entities(F.col("text"), ["email", "ip_address", "aws_key"])).alias("e"))
     return rows.groupBy("doc_id", F.col("e.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _mask(spark, d):
-    return _t(spark, d, "documents").select("doc_id", P.mask(F.col("text"), P.detect(F.col("text"))).alias("masked"))
+    return _docs(spark, d).select("doc_id", P.mask(F.col("text"), P.detect(F.col("text"))).alias("masked"))
 
 
 def _vault(spark, d):
-    rows = _t(spark, d, "documents").select(F.col("source").alias("session"), "text", P.detect(F.col("text")).alias("entities"))
+    rows = _docs(spark, d).select(F.col("source").alias("session"), "text", P.detect(F.col("text")).alias("entities"))
     return P.vault_entries(rows, "text", "entities", "session", "salt").groupBy("session", "label").agg(F.count(F.lit(1)).alias("values"))
 
 
 def _screen(spark, d):
-    rows = screen.screen(_t(spark, d, "documents").select("doc_id", "text").withColumn("gate", F.lit("input")))
+    rows = screen.screen(_docs(spark, d).select("doc_id", "text").withColumn("gate", F.lit("input")))
     return rows.select("doc_id", "screen.action", "screen.category", "screen.reason", F.size("screen.entities").alias("n_entities"), F.length("screen.text").alias("n_chars"))
 
 
@@ -81,7 +86,7 @@ def _bm25(spark, d):
 
 
 def _sentences(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.posexplode(grounding.sentences(F.col("text"))).alias("ix", "sentence"))
+    return _docs(spark, d).select("doc_id", F.posexplode(grounding.sentences(F.col("text"))).alias("ix", "sentence"))
 
 
 def _claims(spark, d):

@@ -18,6 +18,17 @@ def read_texts(spark: SparkSession, path: str, format: str = "parquet", columns:
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, per_core: int = 64 << 20) -> DataFrame:
+    """df dealt out to all cores where the scan holds less than per_core bytes for each of them.
+
+    A small file has fewer row groups than the cluster has cores, and texts are dear to scan.  Larger inputs keep their
+    splits and take no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if held < per_core * cores else df
+
+
 def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists") -> None:
     df.write.format(format).mode(mode).save(path)
 
