@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 #: Characters that separate words, as in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+ARROW_BYTES = "4m"
+_ARROW_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -122,7 +124,13 @@ def unwrap(df: DataFrame, like: DataFrame, name: str = "row") -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives executors this package, once per context, as a zip that the driver serves."""
+    """Gives executors this package, once per context, as a zip that the driver serves.
+
+    Arrow batches of the session take ARROW_BYTES at most, or one row, unless it sets a bound of its own: whole
+    texts by the 10,000 would make batches as large as the texts are long, in the JVM and in Python.
+    """
+    if spark.conf.get(_ARROW_BOUND, None) is None:
+        spark.conf.set(_ARROW_BOUND, ARROW_BYTES)
     context = spark.sparkContext
     if getattr(context, "_sluice_shipped", False):
         return

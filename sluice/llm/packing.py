@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import ship
+from sluice.llm.textkit import release
 
 LENGTH = 2048
 END = 1
@@ -149,5 +150,7 @@ def pack_documents(docs: DataFrame, json_path: str | None = None, ranks_path: st
                 rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        del encode
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -65,6 +67,16 @@ def slices(batches, column: str = "text", limit: int = 1 << 20):
             to = min(n, max(at + 1, to))
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Gives memory that this worker no longer uses back to the system; the worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
 
 
 def words(array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
