@@ -1,6 +1,6 @@
 """Substring dedup over sliding sentence spans.
 
-Every run of RUN consecutive sentences is hashed; the hashes are joined globally; a sentence is removed when a
+Every run of RUN consecutive sentences, or of as many more as it takes to reach LEAST_WORDS words, is hashed; the hashes are joined globally; a sentence is removed when a
 repeated span covers it that is not the first of its kind in the order of (doc_id, place).
 """
 
@@ -17,7 +17,7 @@ from sluice.llm.common import Scratch, ship
 RUN = 3
 #: A sentence ends after [.!?] and white space, at a line feed, or after so many words.
 LONGEST = 16
-#: Spans of fewer words are too short to count as a repeated passage.
+#: Spans of fewer words are too short to count as a repeated passage: they take in the next sentences too.
 LEAST_WORDS = 10
 
 
@@ -45,7 +45,7 @@ def sentences(array, longest: int = LONGEST):
 
 
 def _spans(array, run: int, least: int):
-    """(row, place, length, hash) of every span."""
+    """(row, place, length, hash) of every span: run sentences, or as many more as it takes to reach least words."""
     heads, cut, (_, _, hashed, _) = sentences(array)
     if len(heads) < 2:
         return
@@ -54,15 +54,22 @@ def _spans(array, run: int, least: int):
         total = np.concatenate(([np.uint64(0)], np.cumsum(hashed * up[: len(hashed)])))
         a, b = heads[:-1], heads[1:]
         per = T.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
-    runs = T.sequence_hash(per, run)
+        total = np.concatenate(([np.uint64(0)], np.cumsum(per * up[: len(per)])))
+    places = np.arange(len(heads) - 1)
+    stop = np.maximum(places + run, np.searchsorted(heads, heads[:-1] + least))
     for i in range(len(cut) - 1):
         a, b = int(cut[i]), int(cut[i + 1])
-        if b - a >= run:
-            at = np.arange(a, b - run + 1)
-            at = at[heads[at + run] - heads[at] >= least]
-            yield i, at - a, run, runs[at]
-        elif b > a and heads[b] - heads[a] >= least:
-            yield i, np.zeros(1, np.int64), b - a, T.sequence_hash(per[a:b], b - a)
+        at = places[a:b]
+        if b - a < run:
+            # a text of fewer sentences than a span is one span
+            at = at[:1] if b > a and heads[b] - heads[a] >= least else at[:0]
+            to = np.full(len(at), b)
+        else:
+            at = at[stop[a:b] <= b]
+            to = stop[at]
+        if len(at):
+            with np.errstate(over="ignore"):
+                yield i, at - a, to - at, T.mix((total[to] - total[at]) * down[at] + (to - at).astype(np.uint64))
 
 
 def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
@@ -79,7 +86,7 @@ def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> Dat
                         pa.array(np.concatenate([x[3] for x in found]).view(np.int64)),
                         pa.array(np.repeat(ids[[x[0] for x in found]], count), pa.int64()),
                         pa.array(np.concatenate([x[1] for x in found]), pa.int32()),
-                        pa.array(np.repeat([x[2] for x in found], count), pa.int32()),
+                        pa.array(np.concatenate([x[2] for x in found]), pa.int32()),
                     ],
                     ["h", "doc_id", "place", "width"],
                 )

@@ -198,3 +198,15 @@ def test_spans(spark):
         s = sentences(dict(rows)[i])
         kept = [w for k, part in enumerate(s) if k not in gone[i] for w in part]
         assert WORD.findall(x["text"].translate(LOWER)) == kept
+
+
+def test_spans_of_short_lines_lengthen(spark):
+    r = random.Random(5)
+    line = lambda k: " ".join(f"v{r.randrange(5000)}" for _ in range(k))
+    menu = "\n".join(line(3) for _ in range(20))
+    few = "\n".join(line(2) for _ in range(5))  # ten words
+    rows = [(1, f"{line(12)}.\n{menu}\n{line(9)}."), (2, f"{line(30)}\n{menu}\n{line(11)}."), (3, f"{line(8)}.\n{few}"), (4, f"{few}\n{line(9)}."), (5, "a b\nc d\ne f"), (6, "a b\nc d\ne f")]
+    got = {x["doc_id"]: x for x in substring.remove_repeated_spans(docs_frame(spark, rows)).collect()}
+    assert set(got) == {2, 4}
+    assert got[2]["text"].split() == rows[1][1].replace(menu, "").split()
+    assert got[4]["text"].split() == rows[3][1].replace(few, "").split()
