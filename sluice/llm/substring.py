@@ -1,7 +1,13 @@
-"""Substring dedup over sliding sentence spans.
+"""Substring dedup over sliding sentence spans and word windows.
 
 Every run of RUN consecutive sentences, or of as many more as it takes to reach LEAST_WORDS words, is hashed; the hashes are joined globally; a sentence is removed when a
 repeated span covers it that is not the first of its kind in the order of (doc_id, place).
+
+Passages that start or end inside a sentence are cut differently in every text, so words count too: of the hashes of
+all runs of WINDOW words the least in every GAP neighbours is kept, which any two copies of a passage of
+WINDOW + GAP - 1 words agree on.  The kept windows are joined globally, and the words of one go when it is not the
+first of its kind; as GAP is at most WINDOW they cover a passage but for its ends.  Where a row of such windows ends, all
+texts that hold its last window give the windows around it, which are joined in turn.
 """
 
 from __future__ import annotations
@@ -10,15 +16,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sluice.llm import textkit as T
 from sluice.llm.common import Scratch, ship
+from sluice.llm.lm import CHUNK, LogBloom
 
 RUN = 3
 #: A sentence ends after [.!?] and white space, at a line feed, or after so many words.
 LONGEST = 16
 #: Spans of fewer words are too short to count as a repeated passage: they take in the next sentences too.
 LEAST_WORDS = 10
+#: Words of a window, and windows of which one is kept: every repeated passage of 50 words is found.
+WINDOW, GAP = 26, 25
+#: Bits of the filter of the windows where rows of them end: for each, and at most.  It only decides what is looked at.
+BITS_PER_HASH, MAX_BITS = 16, 1 << 28
 
 
 def sentences(array, longest: int = LONGEST):
@@ -94,6 +106,131 @@ def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> Dat
     return docs.mapInArrow(spans, "h long, doc_id long, place int, width int")
 
 
+def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """pick (minimum or maximum) of every width items, by doubling."""
+    out, have = values, 1
+    while have < width:
+        step = min(have, width - have)
+        out, have = pick(out[: len(out) - step], out[step:]), have + step
+    return out
+
+
+def _windows(array):
+    """(hash of the window at each word, first word of each row, place after the last window of each row, kept places)."""
+    _, _, hashed, first = T.words(array)
+    n = len(hashed)
+    last = np.maximum(first[1:] - WINDOW + 1, first[:-1])
+    if n < WINDOW + GAP - 1:
+        return np.zeros(0, np.uint64), first, last, np.zeros(0, np.int64)
+    _, _, up, down = T._tables(n + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate(([np.uint64(0)], np.cumsum(hashed * up[:n])))
+        h = T.mix((total[WINDOW:] - total[:-WINDOW]) * down[: n - WINDOW + 1] + np.uint64(WINDOW))
+    least = _sliding(h, GAP, np.minimum)
+    # neighbours that reach into the next text keep nothing
+    inside = np.zeros(len(least) + 1, np.int64)
+    whole = np.flatnonzero(last - first[:-1] >= GAP)
+    inside[first[whole]] += 1
+    np.subtract.at(inside, last[whole] - GAP + 1, 1)
+    least[np.cumsum(inside)[:-1] == 0] = 0
+    pad = np.zeros(GAP - 1, np.uint64)
+    return h, first, last, np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), GAP, np.maximum) == h)
+
+
+def _firsts(windows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, doc_id, place, first_doc, first_place) of the windows that are not the first of their kind."""
+    seen = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
+    seen = scratch.write(seen.select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place")))
+    return windows.join(seen, "h").where("doc_id <> first_doc or place <> first_place")
+
+
+def _window_rows(piece, h, first, at) -> pa.RecordBatch:
+    row = np.searchsorted(first, at, "right") - 1
+    ids = piece.column(0).to_numpy(zero_copy_only=False)
+    return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(at - first[row], pa.int32())], ["h", "doc_id", "place"])
+
+
+def kept_windows(docs: DataFrame) -> DataFrame:
+    """(h, doc_id, place) of the kept windows of docs (doc_id, text)."""
+
+    def run(batches):
+        for piece in T.slices(batches):
+            h, first, _, at = _windows(piece.column(1))
+            if len(at):
+                yield _window_rows(piece, h, first, at)
+
+    return docs.mapInArrow(run, "h long, doc_id long, place int")
+
+
+def _filter(hashes: DataFrame, count: int) -> LogBloom:
+    """A filter of all hashes."""
+    bits = min(MAX_BITS, max(CHUNK * 8, 1 << (BITS_PER_HASH * count - 1).bit_length()))
+
+    def run(batches):
+        own = LogBloom(bits, 1)
+        for b in batches:
+            own.insert(b.column(0).to_numpy().view(np.uint64), np.ones(b.num_rows, np.int64))
+        chunks = own.data.reshape(-1, CHUNK)
+        some = np.flatnonzero(chunks.any(1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([chunks[i].tobytes() for i in some], pa.binary())], ["chunk", "data"])
+
+    def union(table: pa.Table) -> pa.Table:
+        out = np.zeros(CHUNK, np.uint8)
+        for x in table.column("data"):
+            out |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "data": pa.array([out.tobytes()], pa.binary())})
+
+    data = np.zeros((bits // 8 // CHUNK, CHUNK), np.uint8)
+    for r in hashes.mapInArrow(run, "chunk long, data binary").groupBy("chunk").applyInArrow(union, "chunk long, data binary").toLocalIterator():
+        data[r["chunk"]] = np.frombuffer(r["data"], np.uint8)
+    return LogBloom(bits, 1, data.reshape(-1), 1)
+
+
+def _windows_around(docs: DataFrame, bloom: LogBloom) -> DataFrame:
+    """(h, doc_id, place) of the windows less than GAP words from one that the filter holds."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+
+    def run(batches):
+        for piece in T.slices(batches):
+            h, first, last, _ = _windows(piece.column(1))
+            at = np.flatnonzero(shared.value.level(h))
+            row = np.searchsorted(first, at, "right") - 1
+            at, row = at[at < last[row]], row[at < last[row]]
+            if not len(at):
+                continue
+            near = np.zeros(len(h) + 1, np.int64)
+            np.add.at(near, np.maximum(at - GAP + 1, first[row]), 1)
+            np.subtract.at(near, np.minimum(at + GAP, last[row]), 1)
+            yield _window_rows(piece, h, first, np.flatnonzero(np.cumsum(near)[:-1]))
+
+    return docs.mapInArrow(run, "h long, doc_id long, place int")
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ranges (start and end, in words, of what to remove; they may overlap), window_doc_ids (where it comes first).
+
+    All words of the later copies of a passage of WINDOW + GAP - 1 words or more, wherever it starts.  Ids and texts
+    as in repeated_spans.  Words of a window's first occurrence stay where a later one of the same text overlaps it.
+    """
+    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "windows")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    later = scratch.write(_firsts(scratch.write(kept_windows(rows)), scratch))
+    # a document's windows: bounded by its own text
+    along = Window.partitionBy("doc_id").orderBy("place")
+    alone = lambda gap: F.coalesce(gap > WINDOW, F.lit(True))
+    ends = later.select("doc_id", "place", "h").distinct()
+    ends = ends.select("h", F.lag("place").over(along).alias("before"), "place", F.lead("place").over(along).alias("after"))
+    ends = scratch.write(ends.where(alone(F.col("place") - F.col("before")) | alone(F.col("after") - F.col("place"))).select("h").distinct())
+    count = ends.count()
+    if count:
+        later = later.unionByName(_firsts(scratch.write(_windows_around(rows, _filter(ends, count))), scratch))
+    own = F.when(F.col("doc_id") == F.col("first_doc"), F.col("first_place") + WINDOW).otherwise(F.lit(0))
+    later = later.select("doc_id", "first_doc", F.greatest("place", own).alias("start"), (F.col("place") + WINDOW).alias("end")).where("start < end")
+    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges"), F.array_sort(F.collect_set("first_doc")).alias("window_doc_ids"))
+
+
 def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, removed (sorted numbers of the sentences to remove), first_doc_ids (where their spans come first).
 
@@ -116,31 +253,44 @@ def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, id
 
 
 def remove_repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The changed documents: doc_id, text without the removed sentences, n_sentences, removed, first_doc_ids.
+    """The changed documents: doc_id, text without the repeated sentences and words, n_sentences, removed (numbers of the
+    sentences of which nothing stays), first_doc_ids, removed_words (start and end, in words, of all that is removed).
 
-    What stands between two kept sentences stays as it was before the later of them.
+    What stands between two kept words stays as it was before the later of them.
     """
-    found = repeated_spans(docs, run, least, id_col, text_col)
+    spans, windows = repeated_spans(docs, run, least, id_col, text_col), repeated_windows(docs, id_col, text_col)
+    none = F.array().cast("array<long>")
+    first = F.array_sort(F.array_union(F.coalesce("first_doc_ids", none), F.coalesce("window_doc_ids", none)))
+    found = spans.join(windows, "doc_id", "full").select("doc_id", "removed", first.alias("first_doc_ids"), F.col("ranges.start").alias("start"), F.col("ranges.end").alias("end"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(found, "doc_id")
+    schema = "doc_id long, text string, n_sentences int, removed array<int>, first_doc_ids array<long>, removed_words array<struct<start: int, end: int>>"
+    ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches):
         for piece in T.slices(batches):
             data, offsets = T.raw(piece.column(1))
-            heads, at, (start, end, _, _) = sentences(piece.column(1))
-            texts, counts = [], []
-            for i, gone in enumerate(piece.column(2).to_pylist()):
-                a, b = int(at[i]), int(at[i + 1])
-                stay = np.ones(b - a, bool)
-                stay[gone] = False
-                # a sentence owns the space before it, but for the first that stays
-                ends = end[heads[a + 1 : b + 1] - 1]
-                begins = np.concatenate((start[heads[a : a + 1]], ends[:-1]))
-                parts = [data[x:y].tobytes() for x, y, s in zip(begins, ends, stay) if s]
+            heads, at, (start, end, _, first) = sentences(piece.column(1))
+            texts, counts, removed, words = [], [], [], []
+            columns = [piece.column(piece.schema.get_field_index(c)) for c in ("removed", "start", "end")]
+            for i in range(piece.num_rows):
+                a, b, base, n = int(at[i]), int(at[i + 1]), int(first[i]), int(first[i + 1] - first[i])
+                gone, begin, close = (np.asarray(c[i].as_py() or [], np.int64) for c in columns)
+                gone = gone[gone < b - a]
+                begin, close = np.concatenate((begin, heads[a + gone] - base)), np.concatenate((close, heads[a + gone + 1] - base))
+                depth = np.zeros(n + 1, np.int64)
+                np.add.at(depth, np.minimum(begin, n), 1)
+                np.subtract.at(depth, np.minimum(close, n), 1)
+                stay = np.cumsum(depth)[:-1] == 0
+                turns = np.flatnonzero(np.diff(np.concatenate(([False], stay, [False])).astype(np.int8)))
+                # a word owns the space before it, but for the first that stays
+                parts = [data[end[base + x - 1] if x else start[base] : end[base + y - 1]].tobytes() for x, y in turns.reshape(-1, 2)]
                 texts.append(b"".join(parts).strip(b" \t\n\v\f\r").decode("utf-8", "replace"))
                 counts.append(b - a)
-            yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), piece.column(2), piece.column(3)],
-                ["doc_id", "text", "n_sentences", "removed", "first_doc_ids"],
-            )
+                kept = np.concatenate(([0], np.cumsum(stay)))
+                removed.append(np.flatnonzero(kept[heads[a + 1 : b + 1] - base] == kept[heads[a:b] - base]).astype(np.int32))
+                turns = np.flatnonzero(np.diff(np.concatenate(([True], stay, [True])).astype(np.int8)))
+                words.append([{"start": int(x), "end": int(y)} for x, y in turns.reshape(-1, 2)])
+            out = [piece.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32())), piece.column(piece.schema.get_field_index("first_doc_ids")), pa.array(words, ranges)]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "text", "n_sentences", "removed", "first_doc_ids", "removed_words"])
 
-    return rows.mapInArrow(cut, "doc_id long, text string, n_sentences int, removed array<int>, first_doc_ids array<long>")
+    return rows.mapInArrow(cut, schema)

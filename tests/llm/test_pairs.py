@@ -210,3 +210,28 @@ def test_spans_of_short_lines_lengthen(spark):
     assert set(got) == {2, 4}
     assert got[2]["text"].split() == rows[1][1].replace(menu, "").split()
     assert got[4]["text"].split() == rows[3][1].replace(few, "").split()
+
+
+@pytest.mark.parametrize("stops", [0, 1])
+def test_passages_at_any_word(spark, stops):
+    r = random.Random(7)
+    line = lambda k: [f"v{r.randrange(50000)}" + "." * (stops and r.random() < 0.06) for _ in range(k)]
+    rows, passages = [], []
+    for i in range(0, 120, 2):
+        passage, long = line(r.choice([50, 51, 60, 80])), line(40)
+        a, b = r.randrange(40), r.randrange(40)
+        rows += [(i, " ".join(long[:a] + passage + long[a:])), (i + 1, " ".join(line(b) + passage + line(37)))]
+        passages.append((b, passage))
+    # one text holds a passage twice; one takes two passages that touch, of which another text has more; words that repeat
+    twice, other = line(55), line(70)
+    rows += [(200, " ".join(line(5) + twice + line(9) + twice + line(3))), (201, " ".join(line(21) + other)), (202, " ".join(twice + other + line(30))), (203, " ".join(["w"] * 300))]
+    got = {x["doc_id"]: x for x in substring.remove_repeated_spans(docs_frame(spark, rows)).collect()}
+    texts = dict(rows)
+    for k, (b, passage) in enumerate(passages):
+        words, left = texts[2 * k + 1].split(), got[2 * k + 1]["text"].split()
+        assert left == words[:b] + words[b + len(passage) :] and 2 * k not in got
+        assert got[2 * k + 1]["first_doc_ids"] == [2 * k]
+        assert got[2 * k + 1]["removed_words"] == [(b, b + len(passage))]
+    assert len(got[200]["text"].split()) == 5 + 55 + 9 + 3
+    assert 201 not in got and got[202]["text"].split() == texts[202].split()[125:]
+    assert got[203]["text"].startswith("w w w w")
