@@ -29,7 +29,7 @@ LONGEST = 16
 LEAST_WORDS = 10
 #: Words of a window, and windows of which one is kept: every repeated passage of 50 words is found.
 WINDOW, GAP = 26, 25
-#: Bits of the filter of the windows where rows of them end: for each, and at most.  It only decides what is looked at.
+#: Bits of a filter of hashes: for each, and at most.  A filter only decides what is looked at.
 BITS_PER_HASH, MAX_BITS = 16, 1 << 28
 
 
@@ -137,31 +137,6 @@ def _windows(array):
     return h, first, last, np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), GAP, np.maximum) == h)
 
 
-def _firsts(windows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h, doc_id, place, first_doc, first_place) of the windows that are not the first of their kind."""
-    seen = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
-    seen = scratch.write(seen.select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place")))
-    return windows.join(seen, "h").where("doc_id <> first_doc or place <> first_place")
-
-
-def _window_rows(piece, h, first, at) -> pa.RecordBatch:
-    row = np.searchsorted(first, at, "right") - 1
-    ids = piece.column(0).to_numpy(zero_copy_only=False)
-    return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(at - first[row], pa.int32())], ["h", "doc_id", "place"])
-
-
-def kept_windows(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, place) of the kept windows of docs (doc_id, text)."""
-
-    def run(batches):
-        for piece in T.slices(batches):
-            h, first, _, at = _windows(piece.column(1))
-            if len(at):
-                yield _window_rows(piece, h, first, at)
-
-    return docs.mapInArrow(run, "h long, doc_id long, place int")
-
-
 def _filter(hashes: DataFrame, count: int) -> LogBloom:
     """A filter of all hashes."""
     bits = min(MAX_BITS, max(CHUNK * 8, 1 << (BITS_PER_HASH * count - 1).bit_length()))
@@ -187,22 +162,66 @@ def _filter(hashes: DataFrame, count: int) -> LogBloom:
     return LogBloom(bits, 1, data.reshape(-1), 1)
 
 
+def _firsts(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rows' columns, first_doc, first_place) of the rows (h, doc_id, place, ...) that are not the first of their hash.
+
+    Hashes alone are counted first; places travel only with hashes that a filter of the repeated ones holds.  rows
+    must be cheap and safe to read twice.
+    """
+    again = scratch.write(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    count = again.count()
+    if not count:
+        return rows.limit(0).select("*", F.lit(0).cast("long").alias("first_doc"), F.lit(0).alias("first_place"))
+    shared = rows.sparkSession.sparkContext.broadcast(_filter(again, count))
+
+    def held(batches):
+        for b in batches:
+            yield b.filter(pa.array(shared.value.level(b.column(0).to_numpy().view(np.uint64)) > 0))
+
+    some = scratch.write(rows.mapInArrow(held, rows.schema))
+    scratch.drop(again)
+    seen = some.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
+    seen = scratch.write(seen.select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place")))
+    later = scratch.write(some.join(seen, "h").where("doc_id <> first_doc or place <> first_place"))
+    scratch.drop(some, seen)
+    return later
+
+
+def _window_rows(piece, h, first, at) -> pa.RecordBatch:
+    row = np.searchsorted(first, at, "right") - 1
+    ids = piece.column(0).to_numpy(zero_copy_only=False)
+    return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(at - first[row], pa.int32())], ["h", "doc_id", "place"])
+
+
+def kept_windows(docs: DataFrame) -> DataFrame:
+    """(h, doc_id, place) of the kept windows of docs (doc_id, text)."""
+
+    def run(batches):
+        for piece in T.slices(batches):
+            h, first, _, at = _windows(piece.column(1))
+            if len(at):
+                yield _window_rows(piece, h, first, at)
+
+    return docs.mapInArrow(run, "h long, doc_id long, place int")
+
+
 def _windows_around(docs: DataFrame, bloom: LogBloom) -> DataFrame:
-    """(h, doc_id, place) of the windows less than GAP words from one that the filter holds."""
+    """(h, doc_id, place) of the windows less than GAP words before one that the filter holds, or after one it holds inverted."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches):
         for piece in T.slices(batches):
             h, first, last, _ = _windows(piece.column(1))
-            at = np.flatnonzero(shared.value.level(h))
-            row = np.searchsorted(first, at, "right") - 1
-            at, row = at[at < last[row]], row[at < last[row]]
-            if not len(at):
-                continue
             near = np.zeros(len(h) + 1, np.int64)
-            np.add.at(near, np.maximum(at - GAP + 1, first[row]), 1)
-            np.subtract.at(near, np.minimum(at + GAP, last[row]), 1)
-            yield _window_rows(piece, h, first, np.flatnonzero(np.cumsum(near)[:-1]))
+            for key, before, after in ((h, GAP - 1, 1), (~h, 0, GAP)):
+                at = np.flatnonzero(shared.value.level(key))
+                row = np.searchsorted(first, at, "right") - 1
+                at, row = at[at < last[row]], row[at < last[row]]
+                np.add.at(near, np.maximum(at - before, first[row]), 1)
+                np.subtract.at(near, np.minimum(at + after, last[row]), 1)
+            at = np.flatnonzero(np.cumsum(near)[:-1])
+            if len(at):
+                yield _window_rows(piece, h, first, at)
 
     return docs.mapInArrow(run, "h long, doc_id long, place int")
 
@@ -216,16 +235,18 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "windows")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    later = scratch.write(_firsts(scratch.write(kept_windows(rows)), scratch))
+    later = _firsts(kept_windows(rows), scratch)
     # a document's windows: bounded by its own text
     along = Window.partitionBy("doc_id").orderBy("place")
     alone = lambda gap: F.coalesce(gap > WINDOW, F.lit(True))
     ends = later.select("doc_id", "place", "h").distinct()
     ends = ends.select("h", F.lag("place").over(along).alias("before"), "place", F.lead("place").over(along).alias("after"))
-    ends = scratch.write(ends.where(alone(F.col("place") - F.col("before")) | alone(F.col("after") - F.col("place"))).select("h").distinct())
+    # the hash of a last window, inverted, asks for those after it
+    sides = F.array_compact(F.array(F.when(alone(F.col("place") - F.col("before")), F.col("h")), F.when(alone(F.col("after") - F.col("place")), F.bitwise_not("h"))))
+    ends = scratch.write(ends.select(F.explode(sides).alias("h")).distinct())
     count = ends.count()
     if count:
-        later = later.unionByName(_firsts(scratch.write(_windows_around(rows, _filter(ends, count))), scratch))
+        later = later.unionByName(_firsts(_windows_around(rows, _filter(ends, count)), scratch))
     own = F.when(F.col("doc_id") == F.col("first_doc"), F.col("first_place") + WINDOW).otherwise(F.lit(0))
     later = later.select("doc_id", "first_doc", F.greatest("place", own).alias("start"), (F.col("place") + WINDOW).alias("end")).where("start < end")
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges"), F.array_sort(F.collect_set("first_doc")).alias("window_doc_ids"))
@@ -242,10 +263,7 @@ def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, id
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "spans")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = scratch.write(span_table(rows, run, least))
-    seen = spans.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
-    seen = scratch.write(seen.select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place")))
-    later = spans.join(seen, "h").where("doc_id <> first_doc or place <> first_place")
+    later = _firsts(span_table(rows, run, least), scratch)
     # a document's spans: bounded by its own text
     by_doc = later.groupBy("doc_id").agg(F.collect_set(F.struct("place", "width")).alias("at"), F.array_sort(F.collect_set("first_doc")).alias("first_doc_ids"))
     every = F.flatten(F.transform("at", lambda s: F.sequence(s["place"], s["place"] + s["width"] - 1)))
