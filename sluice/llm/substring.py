@@ -1,13 +1,15 @@
 """Substring dedup over sliding sentence spans and word windows.
 
-Every run of RUN consecutive sentences, or of as many more as it takes to reach LEAST_WORDS words, is hashed; the hashes are joined globally; a sentence is removed when a
-repeated span covers it that is not the first of its kind in the order of (doc_id, place).
+Every run of RUN consecutive sentences, or of as many more as it takes to reach LEAST_WORDS words, is hashed; the
+hashes are joined globally; a sentence is removed when a repeated span covers it that is not the first of its kind in
+the order of (doc_id, place).
 
 Passages that start or end inside a sentence are cut differently in every text, so words count too: of the hashes of
 all runs of WINDOW words the least in every GAP neighbours is kept, which any two copies of a passage of
 WINDOW + GAP - 1 words agree on.  The kept windows are joined globally, and the words of one go when it is not the
-first of its kind; as GAP is at most WINDOW they cover a passage but for its ends.  Where a row of such windows ends, all
-texts that hold its last window give the windows around it, which are joined in turn.
+first of its kind, with the words on both sides that agree with those around the first.
+
+Two passes over the texts: the first counts hashes alone, the second gives places, and only of hashes that repeat.
 """
 
 from __future__ import annotations
@@ -16,11 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from sluice.llm import bloom
 from sluice.llm import textkit as T
 from sluice.llm.common import Scratch, ship
-from sluice.llm.lm import CHUNK, LogBloom
 
 RUN = 3
 #: A sentence ends after [.!?] and white space, at a line feed, or after so many words.
@@ -29,8 +30,13 @@ LONGEST = 16
 LEAST_WORDS = 10
 #: Words of a window, and windows of which one is kept: every repeated passage of 50 words is found.
 WINDOW, GAP = 26, 25
-#: Bits of the filter of the windows where rows of them end: for each, and at most.  It only decides what is looked at.
-BITS_PER_HASH, MAX_BITS = 16, 1 << 28
+#: Hash functions of the filter of repeated hashes, and the power of two of its 8 kB chunks at most (32 MB).  It only
+#: decides which places travel: those of a hash that it holds wrongly meet no other and are dropped.
+PROBES, MOST_CHUNKS = 8, 12
+#: Changed documents up to which their ids are broadcast.
+FEW = 1_000_000
+SPAN, WIDE = 0, 1
+PLACES = "h long, kind int, doc_id long, place int, width int, before binary, after binary"
 
 
 def sentences(array, longest: int = LONGEST):
@@ -84,28 +90,6 @@ def _spans(array, run: int, least: int):
                 yield i, at - a, to - at, T.mix((total[to] - total[at]) * down[at] + (to - at).astype(np.uint64))
 
 
-def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """(h, doc_id, place, width) of every span of docs (doc_id, text)."""
-
-    def spans(batches):
-        for piece in T.slices(batches):
-            ids = piece.column(0).to_numpy(zero_copy_only=False)
-            found = list(_spans(piece.column(1), run, least))
-            if found:
-                count = [len(x[1]) for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([x[3] for x in found]).view(np.int64)),
-                        pa.array(np.repeat(ids[[x[0] for x in found]], count), pa.int64()),
-                        pa.array(np.concatenate([x[1] for x in found]), pa.int32()),
-                        pa.array(np.concatenate([x[2] for x in found]), pa.int32()),
-                    ],
-                    ["h", "doc_id", "place", "width"],
-                )
-
-    return docs.mapInArrow(spans, "h long, doc_id long, place int, width int")
-
-
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     """pick (minimum or maximum) of every width items, by doubling."""
     out, have = values, 1
@@ -137,98 +121,132 @@ def _windows(array):
     return h, first, last, np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), GAP, np.maximum) == h)
 
 
-def _firsts(windows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h, doc_id, place, first_doc, first_place) of the windows that are not the first of their kind."""
-    seen = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
-    seen = scratch.write(seen.select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place")))
-    return windows.join(seen, "h").where("doc_id <> first_doc or place <> first_place")
-
-
-def _window_rows(piece, h, first, at) -> pa.RecordBatch:
-    row = np.searchsorted(first, at, "right") - 1
-    ids = piece.column(0).to_numpy(zero_copy_only=False)
-    return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(at - first[row], pa.int32())], ["h", "doc_id", "place"])
+def _found(array, kinds, run: int, least: int):
+    """(kind, hash, row, place, width, first word) of all spans and kept windows of an array of texts."""
+    if SPAN in kinds:
+        found = list(_spans(array, run, least))
+        if found:
+            size = [len(x[1]) for x in found]
+            row = np.repeat([x[0] for x in found], size)
+            place, width, h = (np.concatenate([x[k] for x in found]) for k in (1, 2, 3))
+            yield SPAN, h, row, place, width, None
+    if WIDE in kinds:
+        h, first, _, at = _windows(array)
+        if len(at):
+            row = np.searchsorted(first, at, "right") - 1
+            # apart from the hashes of spans
+            yield WIDE, T.mix(h[at] ^ np.uint64(WINDOW)), row, at - first[row], np.full(len(at), WINDOW), at
 
 
-def kept_windows(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, place) of the kept windows of docs (doc_id, text)."""
+def _hashes(docs: DataFrame, kinds, run: int, least: int) -> DataFrame:
+    """(h, n): how often every hash of docs (doc_id, text) occurs; added up slice by slice before the shuffle."""
 
-    def run(batches):
+    def count(batches):
         for piece in T.slices(batches):
-            h, first, _, at = _windows(piece.column(1))
-            if len(at):
-                yield _window_rows(piece, h, first, at)
+            for _, h, *_ in _found(piece.column(1), kinds, run, least):
+                key, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["h", "n"])
 
-    return docs.mapInArrow(run, "h long, doc_id long, place int")
+    return docs.mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _filter(hashes: DataFrame, count: int) -> LogBloom:
-    """A filter of all hashes."""
-    bits = min(MAX_BITS, max(CHUNK * 8, 1 << (BITS_PER_HASH * count - 1).bit_length()))
+def _neighbours(words: np.ndarray, start: np.ndarray, end: np.ndarray, step: int) -> pa.Array:
+    """32 bits of each of the up to GAP - 1 words from start, in steps of step, before end is reached; as bytes."""
+    size = np.minimum(np.abs(end - start), GAP - 1)
+    owner, k = T.spread(np.zeros(len(size), np.int64), size)
+    data = words[start[owner] + step * k].astype("<u4").tobytes()
+    offsets = np.concatenate(([0], np.cumsum(4 * size))).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
-    def run(batches):
-        own = LogBloom(bits, 1)
-        for b in batches:
-            own.insert(b.column(0).to_numpy().view(np.uint64), np.ones(b.num_rows, np.int64))
-        chunks = own.data.reshape(-1, CHUNK)
-        some = np.flatnonzero(chunks.any(1))
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([chunks[i].tobytes() for i in some], pa.binary())], ["chunk", "data"])
 
-    def union(table: pa.Table) -> pa.Table:
-        out = np.zeros(CHUNK, np.uint8)
-        for x in table.column("data"):
-            out |= np.frombuffer(x.as_py(), np.uint8)
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "data": pa.array([out.tobytes()], pa.binary())})
+def _places(docs: DataFrame, repeated: bloom.LevelBloom, kinds, run: int, least: int) -> DataFrame:
+    """PLACES of the hashes of docs (doc_id, text) that repeated holds; before and after: words around a window."""
+    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+    names = [x.split()[0] for x in PLACES.split(", ")]
 
-    data = np.zeros((bits // 8 // CHUNK, CHUNK), np.uint8)
-    for r in hashes.mapInArrow(run, "chunk long, data binary").groupBy("chunk").applyInArrow(union, "chunk long, data binary").toLocalIterator():
-        data[r["chunk"]] = np.frombuffer(r["data"], np.uint8)
-    return LogBloom(bits, 1, data.reshape(-1), 1)
+    def find(batches):
+        for piece in T.slices(batches):
+            ids = piece.column(0).to_numpy(zero_copy_only=False)
+            for kind, h, row, place, width, at in _found(piece.column(1), kinds, run, least):
+                keep = np.flatnonzero(shared.value.level(h) > 0)
+                h, row, place, width = h[keep], row[keep], place[keep], width[keep]
+                around = [pa.nulls(len(keep), pa.binary())] * 2
+                if kind == WIDE:
+                    _, _, hashed, first = T.words(piece.column(1))
+                    word, at = (hashed >> np.uint64(32)).astype(np.uint32), at[keep]
+                    around = [_neighbours(word, at - 1, first[row] - 1, -1), _neighbours(word, at + WINDOW, first[row + 1], 1)]
+                columns = [pa.array(h.view(np.int64)), pa.array(np.full(len(h), kind, np.int32)), pa.array(ids[row], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int32()) for x in (place, width)], *around], names)
+
+    return docs.mapInArrow(find, PLACES)
+
+
+def _agree(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """How many leading words two columns of neighbours have in common, row by row."""
+    out = np.zeros(len(a), np.int32)
+    for i, (x, y) in enumerate(zip(a, b)):
+        x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+        n = min(len(x), len(y))
+        unlike = np.flatnonzero(x[:n] != y[:n])
+        out[i] = unlike[0] if len(unlike) else n
+    return out
 
 
-def _windows_around(docs: DataFrame, bloom: LogBloom) -> DataFrame:
-    """(h, doc_id, place) of the windows less than GAP words from one that the filter holds."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+def later_occurrences(docs: DataFrame, kinds=(SPAN, WIDE), run: int = RUN, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, kind, start, end, first_doc) of all spans (in sentences) and windows with what agrees around them (in
+    words) that are not the first of their kind.  Ids and texts as in repeated_spans.
 
-    def run(batches):
-        for piece in T.slices(batches):
-            h, first, last, _ = _windows(piece.column(1))
-            at = np.flatnonzero(shared.value.level(h))
-            row = np.searchsorted(first, at, "right") - 1
-            at, row = at[at < last[row]], row[at < last[row]]
-            if not len(at):
+    Words of a window's first occurrence stay where a later one of the same text overlaps it.
+    """
+    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "spans")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    again = scratch.write(_hashes(rows, kinds, run, least).where("n > 1").select(F.col("h").alias("key"), F.lit(1).alias("level")))
+    size = bloom.LevelBloom.log_chunks_for(again.count(), 0, PROBES, most=MOST_CHUNKS)
+    repeated = bloom.build(again, size, PROBES)
+    scratch.drop(again)
+    places = scratch.write(_places(rows, repeated, kinds, run, least))
+    first = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place", "before", "after")).alias("first")).where("n > 1")
+    first = scratch.write(first.select("h", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "place", "before", "after")]))
+    joined = places.join(first, "h").where("doc_id <> first_doc_id or place <> first_place")
+
+    def extend(batches):
+        for b in batches:
+            if not b.num_rows:
                 continue
-            near = np.zeros(len(h) + 1, np.int64)
-            np.add.at(near, np.maximum(at - GAP + 1, first[row]), 1)
-            np.subtract.at(near, np.minimum(at + GAP, last[row]), 1)
-            yield _window_rows(piece, h, first, np.flatnonzero(np.cumsum(near)[:-1]))
-
-    return docs.mapInArrow(run, "h long, doc_id long, place int")
+            kind, place, width, first_place = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("kind", "place", "width", "first_place"))
+            start, end = place.copy(), place + width
+            wide = np.flatnonzero(kind == WIDE)
+            if len(wide):
+                part = b.take(pa.array(wide))
+                left, right = (_agree(part.column(part.schema.get_field_index(c)), part.column(part.schema.get_field_index(f"first_{c}"))) for c in ("before", "after"))
+                same = part.column(0).to_numpy() == part.column(1).to_numpy()
+                start[wide] -= left
+                end[wide] += right
+                start[wide] = np.where(same, np.maximum(start[wide], first_place[wide] + WINDOW + right), start[wide])
+            keep = pa.array(np.flatnonzero(start < end))
+            columns = [b.column(0), pa.array(kind), pa.array(start, pa.int32()), pa.array(end, pa.int32()), b.column(1)]
+            yield pa.RecordBatch.from_arrays([c.take(keep) for c in columns], ["doc_id", "kind", "start", "end", "first_doc"])
+
+    joined = joined.select("doc_id", "first_doc_id", "kind", "place", "width", "first_place", "before", "after", "first_before", "first_after")
+    return joined.mapInArrow(extend, "doc_id long, kind int, start int, end int, first_doc long").distinct()
+
+
+def _by_document(later: DataFrame) -> DataFrame:
+    """doc_id, spans and windows (start, end), first_doc_ids: what is gathered is bounded by the document's own text."""
+    at = F.struct("start", "end")
+    gathered = [F.collect_set(F.when(F.col("kind") == k, at)).alias(name) for k, name in ((SPAN, "spans"), (WIDE, "windows"))]
+    return later.groupBy("doc_id").agg(*gathered, F.array_sort(F.collect_set("first_doc")).alias("first_doc_ids"))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ranges (start and end, in words, of what to remove; they may overlap), window_doc_ids (where it comes first).
 
-    All words of the later copies of a passage of WINDOW + GAP - 1 words or more, wherever it starts.  Ids and texts
-    as in repeated_spans.  Words of a window's first occurrence stay where a later one of the same text overlaps it.
+    All words of the later copies of a passage of WINDOW + GAP - 1 words or more, wherever it starts.  A copy that
+    shares more with another copy than with the first keeps up to GAP - 1 words of that at either end.
     """
-    ship(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "windows")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    later = scratch.write(_firsts(scratch.write(kept_windows(rows)), scratch))
-    # a document's windows: bounded by its own text
-    along = Window.partitionBy("doc_id").orderBy("place")
-    alone = lambda gap: F.coalesce(gap > WINDOW, F.lit(True))
-    ends = later.select("doc_id", "place", "h").distinct()
-    ends = ends.select("h", F.lag("place").over(along).alias("before"), "place", F.lead("place").over(along).alias("after"))
-    ends = scratch.write(ends.where(alone(F.col("place") - F.col("before")) | alone(F.col("after") - F.col("place"))).select("h").distinct())
-    count = ends.count()
-    if count:
-        later = later.unionByName(_firsts(scratch.write(_windows_around(rows, _filter(ends, count))), scratch))
-    own = F.when(F.col("doc_id") == F.col("first_doc"), F.col("first_place") + WINDOW).otherwise(F.lit(0))
-    later = later.select("doc_id", "first_doc", F.greatest("place", own).alias("start"), (F.col("place") + WINDOW).alias("end")).where("start < end")
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges"), F.array_sort(F.collect_set("first_doc")).alias("window_doc_ids"))
+    found = _by_document(later_occurrences(docs, (WIDE,), id_col=id_col, text_col=text_col))
+    return found.select("doc_id", F.col("windows").alias("ranges"), F.col("first_doc_ids").alias("window_doc_ids"))
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,17 +257,9 @@ def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, id
     repeated with one id the first occurrence is the same (doc_id, place), so they keep their sentences: leave those
     to exact dedup.  Rows with a null id are left alone.  Other columns are ignored; no rows give no rows.
     """
-    ship(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "spans")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = scratch.write(span_table(rows, run, least))
-    seen = spans.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1")
-    seen = scratch.write(seen.select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place")))
-    later = spans.join(seen, "h").where("doc_id <> first_doc or place <> first_place")
-    # a document's spans: bounded by its own text
-    by_doc = later.groupBy("doc_id").agg(F.collect_set(F.struct("place", "width")).alias("at"), F.array_sort(F.collect_set("first_doc")).alias("first_doc_ids"))
-    every = F.flatten(F.transform("at", lambda s: F.sequence(s["place"], s["place"] + s["width"] - 1)))
-    return by_doc.select("doc_id", F.array_sort(F.array_distinct(every)).alias("removed"), "first_doc_ids")
+    found = _by_document(later_occurrences(docs, (SPAN,), run, least, id_col, text_col))
+    every = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))
+    return found.select("doc_id", F.array_sort(F.array_distinct(every)).alias("removed"), "first_doc_ids")
 
 
 def remove_repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,11 +268,15 @@ def remove_repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WO
 
     What stands between two kept words stays as it was before the later of them.
     """
-    spans, windows = repeated_spans(docs, run, least, id_col, text_col), repeated_windows(docs, id_col, text_col)
-    none = F.array().cast("array<long>")
-    first = F.array_sort(F.array_union(F.coalesce("first_doc_ids", none), F.coalesce("window_doc_ids", none)))
-    found = spans.join(windows, "doc_id", "full").select("doc_id", "removed", first.alias("first_doc_ids"), F.col("ranges.start").alias("start"), F.col("ranges.end").alias("end"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(found, "doc_id")
+    scratch = Scratch(docs.sparkSession, "cut")
+    found = _by_document(later_occurrences(docs, run=run, least=least, id_col=id_col, text_col=text_col))
+    every = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))
+    found = scratch.write(found.select("doc_id", F.array_sort(F.array_distinct(every)).alias("removed"), "first_doc_ids", F.col("windows.start").alias("start"), F.col("windows.end").alias("end")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if found.count() <= FEW:
+        # at most FEW ids: texts without a repetition do not shuffle
+        rows = rows.join(F.broadcast(found.select("doc_id")), "doc_id", "left_semi")
+    rows = rows.join(found, "doc_id")
     schema = "doc_id long, text string, n_sentences int, removed array<int>, first_doc_ids array<long>, removed_words array<struct<start: int, end: int>>"
     ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
