@@ -32,12 +32,12 @@ class LevelBloom:
     first, more: hash functions of level 1, which tells known keys from unknown ones, and of each later level.
     """
 
-    def __init__(self, log_chunks: int, first: int, more: int = 6, top: int = 1, data: np.ndarray | None = None):
+    def __init__(self, log_chunks: int, first: int, more: int = 10, top: int = 1, data: np.ndarray | None = None):
         self.log_chunks, self.first, self.more, self.top = max(1, log_chunks), first, more, top
         self.data = np.zeros(CHUNK << self.log_chunks, np.uint8) if data is None else data
 
     @staticmethod
-    def log_chunks_for(level_one: int, later: int, first: int, more: int = 6, most: int = 62) -> int:
+    def log_chunks_for(level_one: int, later: int, first: int, more: int = 10, most: int = 62) -> int:
         """The size, as a power of two of chunks, at which about half of the bits are set, most at most."""
         bits = (level_one * first + later * more) / np.log(2)
         return min(most, max(1, int(np.ceil(np.log2(max(1.0, bits / (8 * CHUNK)))))))
@@ -77,7 +77,7 @@ class LevelBloom:
         return out
 
 
-def build(rows: DataFrame, log_chunks: int, first: int, more: int = 6, top: int = 1) -> LevelBloom:
+def build(rows: DataFrame, log_chunks: int, first: int, more: int = 10, top: int = 1) -> LevelBloom:
     """The filter of rows (key long, level int).  Each task builds the chunks that are dealt to it; the driver joins them."""
     shape = LevelBloom(log_chunks, first, more, top, np.zeros(0, np.uint8))
     bits = shape.log_chunks

@@ -1,9 +1,13 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The filter holds word pairs with their counts on a log scale: a pair of level q is inserted q times, once for each
-level, and a reader probes levels 1, 2, ... until one is missing.  It has a fixed number of bits and is broadcast.
-Probabilities back off from pairs to words: what the pairs of a history leave goes to all other words by their base
-probability.  Words outside the most frequent ones are never broadcast; their counts are joined by a shuffle.
+The filter holds every word pair that training has LEAST times or more, with its count on a log scale, whatever the
+words: pairs are counted by a shuffle of hashes, and the filter's size follows their number.  It is broadcast, in
+pieces where it is large; each piece then takes a pass over the texts.  A second filter holds the counts of words, and
+what the pairs of a history add up to, for words outside the most frequent ones.
+
+p(w|h) = m(h) * c(h, w) / C(h) + (1 - m(h)) * b(w), from membership probes alone.  c is the count that probes return,
+C(h) an upper bound of the sum of c over the pairs of h, m(h) at most WEIGHT and lower where few pairs of h are held,
+and b the base probability; so the probabilities after a history sum to 1 at most.
 """
 
 from __future__ import annotations
@@ -13,22 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm import bloom
 from sluice.llm import textkit as T
 from sluice.llm.common import Scratch, ship
 from sluice.llm.langid import remainder
 
-#: Most frequent words, whose counts are broadcast, and those of them that make pairs.  Sizes only: every word is counted.
+#: Most frequent words, whose exact counts are broadcast.  A size only: every word is counted, and makes pairs.
 FREQUENT = 1 << 18
-PAIRED = 1 << 14
-#: Bits of the filter and hash functions per level.
-BITS = 1 << 26
-HASHES = 4
-CHUNK = 1 << 13
-DISCOUNT = 0.9
+#: Count from which a pair is held.
+LEAST = 2
+WEIGHT = 0.9
+#: Hash functions beyond the binary digits of the vocabulary's size: of 2**SURE histories one has a pair held wrongly.
+SURE = 12
+#: Hash functions for words, and the power of two of 8 kB chunks in a piece of the pairs (128 MB).
+WORD_PROBES, PIECE = 14, 14
 FOLDS, HELD = 5, 1
 #: The token that closes a text, and the history of its first word: key 1 stands for no word's hash in practice.
 END = np.uint64(1)
-TOTALS, PAIRS, RARE = 0, 1, 2
+#: Pairs or words that a task adds up before it hands them on.
+HOLD = 1 << 19
 
 
 def _tokens(array):
@@ -45,16 +52,21 @@ def _tokens(array):
     return out, shifted
 
 
-def _pairs(at: np.ndarray, first: np.ndarray, paired: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places of tokens whose history and self both make pairs, their pair keys); at: rank of each token or -1.
+def _histories(token: np.ndarray, first: np.ndarray) -> np.ndarray:
+    out = np.empty_like(token)
+    out[1:] = token[:-1]
+    out[first[:-1]] = END
+    return out
 
-    Rank 0 is the closing token, which is the history of a text's first word too.
-    """
-    before = np.empty_like(at)
-    before[1:] = at[:-1]
-    before[first[:-1]] = 0
-    place = np.flatnonzero((at >= 0) & (at < paired) & (before >= 0) & (before < paired))
-    return place, before[place].astype(np.int64) * paired + at[place]
+
+def pair_keys(history: np.ndarray, token: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return T.mix(T.mix(history * np.uint64(0x9E3779B97F4A7C15)) + token)
+
+
+def _held_key(word: np.ndarray) -> np.ndarray:
+    """The key of what a word's pairs add up to, in the filter of words."""
+    return T.mix(word ^ np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def level_of(count, least: int):
@@ -63,106 +75,125 @@ def level_of(count, least: int):
 
 
 def level_count(level, least: int):
+    """The least count of a level."""
     return np.where(level > 0, least * 2.0 ** (level - 1), 0.0)
 
 
-def _bits(keys: np.ndarray, level: int, bits: int, hashes: int = HASHES):
-    """The places of (key, level) in the filter, one array per hash function."""
-    with np.errstate(over="ignore"):
-        h = T.mix(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level) * np.uint64(0xC2B2AE3D27D4EB4F))
-        step = T.mix(h) | np.uint64(1)
-        for k in range(hashes):
-            yield ((h + np.uint64(k) * step) % np.uint64(bits)).astype(np.int64)
-
-
-class LogBloom:
-    """Levels of keys, from membership probes alone.  Never too low; too high or not 0 with the filter's error rate."""
-
-    def __init__(self, bits: int, least: int, data: np.ndarray | None = None, top: int = 0):
-        self.bits, self.least, self.top = bits, least, top
-        self.data = np.zeros(bits // 8, np.uint8) if data is None else data
-
-    def insert(self, keys: np.ndarray, levels: np.ndarray) -> None:
-        self.top = max(self.top, int(levels.max(initial=0)))
-        for q in range(1, int(levels.max(initial=0)) + 1):
-            for at in _bits(keys[levels >= q], q, self.bits):
-                np.bitwise_or.at(self.data, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        open_ = np.arange(len(keys))
-        for q in range(1, self.top + 1):
-            there = np.ones(len(open_), bool)
-            for at in _bits(keys[open_], q, self.bits):
-                there &= (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            open_ = open_[there]
-            if not len(open_):
-                break
-            out[open_] = q
-        return out
+class Model:
+    """words: hashes of the frequent words, END first; counts: their training counts; held: what the pairs of each
+    add up to; rare: filter of counts and sums of the other words; pairs: filter of pairs; spare: what pairs held
+    wrongly may add to a sum; total, distinct: of all training tokens; piece, pieces: which pairs the filter has."""
 
+    def __init__(self, words, counts, held, rare, pairs, spare, total, distinct, piece=0, pieces=1):
+        self.words, self.counts, self.held, self.rare, self.pairs = words, counts, held, rare, pairs
+        self.spare, self.total, self.distinct, self.piece, self.pieces = spare, total, distinct, piece, pieces
+        self._find = None
 
-class Model:
-    """words: hashes of the frequent words in rank order; counts: their training counts; back: log10 back-off weight
-    of each history; bloom: levels of pairs; total, distinct: of all training tokens."""
+    def __getstate__(self):
+        return self.__dict__ | {"_find": None}
 
-    def __init__(self, words, counts, total, distinct, bloom, back, paired):
-        self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
-        self.bloom, self.back, self.paired = bloom, back, paired
+    def find(self, token: np.ndarray) -> np.ndarray:
+        if self._find is None:
+            self._find = T.Lookup(self.words)
+        return self._find(token)
 
     def base(self, count):
         return (count + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
+    def known(self, token: np.ndarray, at: np.ndarray):
+        """(a lower and an upper bound of the count, an upper bound of what its pairs add up to) of each token."""
+        place = np.maximum(at, 0)
+        low = self.counts[place].astype(np.float64)
+        high, held = low.copy(), self.held[place].astype(np.float64)
+        some = np.flatnonzero(at < 0)
+        if len(some):
+            word, back = np.unique(token[some], return_inverse=True)
+            level = self.rare.level(word)
+            low[some] = level_count(level, 1)[back]
+            high[some] = (2.0**level - 1)[back]
+            held[some] = (2.0 ** self.rare.level(_held_key(word)) - 1)[back]
+        return low, high, held
+
+    def log10(self, key, low, high, held) -> np.ndarray:
+        """Log10 of the probability of tokens, where this piece holds their pairs, 0 elsewhere.
+
+        key: of the pairs; low: of the tokens; high, held: of their histories.
+        """
+        mine = np.flatnonzero(key & np.uint64(self.pieces - 1) == self.piece)
+        low, high, held = low[mine], high[mine], held[mine]
+        weight = WEIGHT * np.minimum(1.0, held / np.maximum(high, 1.0))
+        count = np.zeros(len(mine))
+        some = np.flatnonzero(held > 0)
+        count[some] = level_count(self.pairs.level(key[mine[some]]), LEAST)
+        out = np.zeros(len(key))
+        out[mine] = np.log10(weight * count / (np.maximum(held, 1.0) + self.spare) + (1 - weight) * self.base(low))
+        return out
+
+
+def _summed(parts):
+    """(key, other, n) arrays, added up by key until HOLD keys are held."""
+    held, size = [], 0
+
+    def flush():
+        key, other, n = (np.concatenate([p[i] for p in held]) for i in range(3))
+        key, where, at = np.unique(key, return_index=True, return_inverse=True)
+        return key, other[where], np.bincount(at, n, len(key)).astype(np.int64)
 
-def _frequent(rows: DataFrame, most: int) -> np.ndarray:
-    """Hashes of the most frequent training words.  Words that a slice of text has once are not counted here, which
-    only decides by which way a word's exact count travels."""
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > 2 * HOLD:
+            held = [flush()]
+            size = len(held[0][0])
+            if size > HOLD:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield flush()
 
-    def count(batches):
-        for piece in T.slices(batches, "text", 1 << 20):
+
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """(key, n) of every training token."""
+
+    def parts(batches):
+        for piece in T.slices(batches, "text"):
             key, n = np.unique(_tokens(piece.column(0))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
+            yield key, key, n
 
-    counts = rows.where("train").select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("key") != int(END)).orderBy(F.desc("n"), "key").limit(most - 1).select("key").toArrow()
-    return np.concatenate(([END], top.column(0).to_numpy().view(np.uint64)))
+    def run(batches):
+        for key, _, n in _summed(parts(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
+    return rows.where("train").select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-def _count(rows: DataFrame, words: np.ndarray, paired: int, most_held: int = 1 << 20) -> DataFrame:
-    """One pass over all texts: (kind, key, doc, n) of frequent words, pairs, and the words of each text that are rare."""
-    shared = rows.sparkSession.sparkContext.broadcast(words)
 
-    def table(kind, key, doc, n):
-        size = len(key)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(doc), pa.array(np.asarray(n, np.int64))], ["kind", "key", "doc", "n"])
+def _pair_counts(rows: DataFrame) -> DataFrame:
+    """(key, history, n) of the training pairs that occur LEAST times."""
+
+    def parts(batches):
+        for piece in T.slices(batches, "text"):
+            token, first = _tokens(piece.column(0))
+            history = _histories(token, first)
+            key, where, n = np.unique(pair_keys(history, token), return_index=True, return_counts=True)
+            yield key, history[where], n
 
     def run(batches):
-        find = T.Lookup(shared.value)
-        total = np.zeros(len(shared.value), np.int64)
-        held, size = [], 0
+        for key, history, n in _summed(parts(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(history.view(np.int64)), pa.array(n)], ["key", "history", "n"])
+
+    counted = rows.where("train").select("text").mapInArrow(run, "key long, history long, n long")
+    return counted.groupBy("key", "history").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
 
-        def flush():
-            key = np.concatenate([k for k, _ in held])
-            n = np.concatenate([c for _, c in held])
-            key, at = np.unique(key, return_inverse=True)
-            return key, np.bincount(at, n, len(key)).astype(np.int64)
 
+def _rare_words(rows: DataFrame, words: np.ndarray) -> DataFrame:
+    """(key, doc, n) of the words of each text that are not among words; n is negative outside training."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        find = T.Lookup(shared.value)
         for piece in T.slices(batches):
             token, first = _tokens(piece.column(1))
-            at = find(token)
-            train = np.repeat(piece.column(2).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-            total += np.bincount(at[(at >= 0) & train], minlength=len(total))
-            place, pair = _pairs(at, first, paired)
-            key, n = np.unique(pair[train[place]], return_counts=True)
-            held.append((key, n))
-            size += len(key)
-            if size > 2 * most_held:
-                held = [flush()]
-                size = len(held[0][0])
-                if size > most_held:
-                    yield table(PAIRS, held[0][0], np.zeros(size, np.int64), held[0][1])
-                    held, size = [], 0
-            rare = np.flatnonzero(at < 0)
+            rare = np.flatnonzero(find(token) < 0)
             row = np.repeat(np.arange(len(first) - 1), np.diff(first))[rare]
             order = np.lexsort((token[rare], row))
             key, row = token[rare][order], row[order]
@@ -170,22 +201,18 @@ def _count(rows: DataFrame, words: np.ndarray, paired: int, most_held: int = 1 <
             new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
             begin = np.flatnonzero(new)
             n = np.diff(np.append(begin, len(key)))
-            # the sign tells training rows
             sign = np.where(piece.column(2).to_numpy(zero_copy_only=False).astype(bool), 1, -1)
-            yield table(RARE, key[begin].view(np.int64), piece.column(0).to_numpy()[row[begin]], n * sign[row[begin]])
-        if held:
-            key, n = flush()
-            yield table(PAIRS, key, np.zeros(len(key), np.int64), n)
-        seen = np.flatnonzero(total)
-        yield table(TOTALS, seen, np.zeros(len(seen), np.int64), total[seen])
+            columns = [pa.array(key[begin].view(np.int64)), pa.array(piece.column(0).to_numpy()[row[begin]]), pa.array(n * sign[row[begin]])]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "n"])
 
-    return rows.select("key", "text", "train").mapInArrow(run, "kind int, key long, doc long, n long")
+    return rows.select("key", "text", "train").mapInArrow(run, "key long, doc long, n long")
 
 
-def _rare(counted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, part, known, fresh): per text the sum of n * log10(c + 0.5) over its rare words, and how many are known.
+def _rare_sums(counted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, part, known): per text the sum of n * log10(c + 0.5) over its rare words, and how many are known.
 
-    Rows with a null doc carry in fresh how many distinct rare words training has, in known their tokens."""
+    A rare word has at most a FREQUENTth of all tokens, so that no task gathers a hot one.
+    """
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -202,99 +229,80 @@ def _rare(counted: DataFrame, scratch: Scratch) -> DataFrame:
         docs, at = np.unique(doc, return_inverse=True)
         part = np.bincount(at, n * np.log10(c + 0.5), len(docs))
         known = np.bincount(at, n * (c > 0), len(docs)).astype(np.int64)
-        none = np.zeros(len(docs), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(part), pa.array(known), pa.array(none)], ["doc", "part", "known", "fresh"])
-        total = [pa.array([None], pa.int64()), pa.array([0.0]), pa.array([int(count.sum())]), pa.array([int((count > 0).sum())])]
-        yield pa.RecordBatch.from_arrays(total, ["doc", "part", "known", "fresh"])
-
-    rows = counted.where(F.col("kind") == RARE).select("key", "doc", "n")
-    number = max(1, -(-rows.count() // 500_000))
-    parts = rows.repartition(max(number, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key")
-    return scratch.write(parts.mapInArrow(run, "doc long, part double, known long, fresh long"))
+        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(part), pa.array(known)], ["doc", "part", "known"])
+
+    rows = scratch.write(counted)
+    number = max(1, -(-rows.count() // 500_000), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = rows.repartition(number, "key").mapInArrow(run, "doc long, part double, known long")
+    return scratch.write(sums.groupBy("doc").agg(F.sum("part").alias("part"), F.sum("known").alias("known")))
+
+
+def _log2(n):
+    """The place of the highest binary digit of a column of longs."""
+    return (F.length(F.bin(n)) - 1).cast("int")
+
+
+def _sizes(levels: DataFrame) -> tuple[int, int, int]:
+    """(keys, levels beyond the first, highest level) of (key, level)."""
+    r = levels.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("level") - 1).alias("later"), F.max("level").alias("top")).first()
+    return int(r["n"]), int(r["later"] or 0), int(r["top"] or 0)
+
+
+def train(rows: DataFrame, scratch: Scratch, frequent: int = FREQUENT, piece: int = PIECE) -> list[Model]:
+    """The model of the training rows of (key, text, train), as one for each piece of the pairs."""
+    context = rows.sparkSession.sparkContext
+    words = scratch.write(_word_counts(rows))
+    sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total, distinct = int(sums["n"] or 0), int(sums["v"])
+    pairs = scratch.write(_pair_counts(rows))
+    leveled = pairs.select("key", _log2("n").alias("level"), "history")  # as LEAST is 2
+    number, later, top = _sizes(leveled)
+    first = int(distinct).bit_length() + SURE
+    chunks = bloom.LevelBloom.log_chunks_for(number, later, first)
+    pieces = 1 << max(0, chunks - piece)
+    chunks = min(chunks, piece)
+    filters, held = [], None
+    for k in range(pieces):
+        own = leveled.where(F.col("key").bitwiseAND(F.lit(pieces - 1)) == k) if pieces > 1 else leveled
+        filters.append(bloom.build(own.select("key", "level"), chunks, first, top=top))
+        shared = context.broadcast(filters[-1])
+
+        def returned(batches, shared=shared):
+            for b in batches:
+                count = level_count(shared.value.level(b.column(0).to_numpy().view(np.uint64)), LEAST)
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(count.astype(np.int64))], ["history", "held"])
+
+        part = scratch.write(own.select("key", "history").mapInArrow(returned, "history long, held long").groupBy("history").agg(F.sum("held").alias("held")))
+        shared.unpersist()
+        held = part if held is None else held.unionByName(part)
+    held = held.groupBy("history").agg(F.sum("held").alias("held"))
+    known = scratch.write(words.join(held, F.col("key") == F.col("history"), "left").select("key", "n", F.coalesce("held", F.lit(0)).alias("held")))
+    table = known.where(F.col("key") != int(END)).orderBy(F.desc("n"), "key").limit(frequent - 1).toArrow()
+    end = known.where(F.col("key") == int(END)).first() or {"n": 0, "held": 0}
+    hashes = np.concatenate(([END], table.column("key").to_numpy().view(np.uint64)))
+    counts = np.concatenate(([end["n"]], table.column("n").to_numpy())).astype(np.int64)
+    mass = np.concatenate(([end["held"]], table.column("held").to_numpy())).astype(np.int64)
+    rest = known.where(F.col("key") != int(END))
+    if table.num_rows:
+        least, last = int(counts[-1]), int(hashes[-1:].view(np.int64)[0])
+        rest = rest.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("key") > last)))
+
+    def entries(batches):
+        for b in batches:
+            key, n, sum_ = (b.column(i).to_numpy() for i in range(3))
+            key, some = key.view(np.uint64), sum_ > 0
+            key = np.concatenate((key, _held_key(key[some])))
+            level = level_of(np.concatenate((n, sum_[some])), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(level.astype(np.int32))], ["key", "level"])
 
+    rest = scratch.write(rest.mapInArrow(entries, "key long, level int"))
+    number, later, high = _sizes(rest)
+    rare = bloom.build(rest, bloom.LevelBloom.log_chunks_for(number, later, WORD_PROBES), WORD_PROBES, top=high)
+    spare = LEAST * distinct * 2.0**-first
+    return [Model(hashes, counts, mass, rare, f, spare, total, distinct, k, pieces) for k, f in enumerate(filters)]
 
-def _filter(pairs: DataFrame, bits: int) -> LogBloom:
-    """The filter over all pairs from the least count (a power of two, 2 at least) at which it is no more than half full."""
-    sizes = {int(r["q"]): int(r["n"]) for r in pairs.groupBy(F.floor(F.log2("n")).alias("q")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    low, room = 1, bits * np.log(2) / HASHES
-    while sum(n * (q - low + 1) for q, n in sizes.items() if q >= low) > room:
-        low += 1
-    least, top = 1 << low, max([q - low + 1 for q in sizes if q >= low], default=0)
 
-    def run(batches):
-        own = LogBloom(bits, least)
-        for b in batches:
-            n = b.column(1).to_numpy()
-            levels = level_of(n, least)
-            own.insert(b.column(0).to_numpy()[levels > 0], levels[levels > 0])
-        chunks = own.data.reshape(-1, CHUNK)
-        some = np.flatnonzero(chunks.any(1))
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([chunks[i].tobytes() for i in some], pa.binary())], ["chunk", "data"])
-
-    def union(table: pa.Table) -> pa.Table:
-        out = np.zeros(CHUNK, np.uint8)
-        for x in table.column("data"):
-            out |= np.frombuffer(x.as_py(), np.uint8)
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "data": pa.array([out.tobytes()], pa.binary())})
-
-    parts = pairs.where(F.col("n") >= least).mapInArrow(run, "chunk long, data binary")
-    data = np.zeros((bits // 8 // CHUNK, CHUNK), np.uint8)
-    for r in parts.groupBy("chunk").applyInArrow(union, "chunk long, data binary").toLocalIterator():  # bits / 8 bytes in all
-        data[r["chunk"]] = np.frombuffer(r["data"], np.uint8)
-    return LogBloom(bits, least, data.reshape(-1), top)
-
-
-def train(rows: DataFrame, scratch: Scratch, frequent: int = FREQUENT, paired: int = PAIRED, bits: int = BITS) -> tuple[Model, DataFrame]:
-    """The model of the training rows of (key, text, train), and (doc, part, known) of all rows' rare words."""
-    words = _frequent(rows, frequent)
-    counted = scratch.write(_count(rows, words, paired), "kind")
-    totals = counted.where(F.col("kind") == TOTALS).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(words), np.int64)
-    counts[totals.column("key").to_numpy()] = totals.column("n").to_numpy()
-    rare = _rare(counted, scratch)
-    more = rare.where("doc is null").agg(F.sum("known").alias("n"), F.sum("fresh").alias("v")).first()
-    total, distinct = int(counts.sum() + (more["n"] or 0)), int((counts > 0).sum() + (more["v"] or 0))
-    pairs = scratch.write(counted.where(F.col("kind") == PAIRS).groupBy("key").agg(F.sum("n").alias("n")))
-    bloom = _filter(pairs, bits)
-    model = Model(words, counts, total, distinct, bloom, np.zeros(paired), paired)
-    # what the pairs of each history hold: of its own count, and of the base probability
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def mass(batches):
-        m = shared.value
-        for b in batches:
-            key, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            held = level_count(level_of(n, m.bloom.least), m.bloom.least)
-            key, held = key[held > 0], held[held > 0]
-            v, at = np.unique(key // m.paired, return_inverse=True)
-            base = m.base(m.counts[key % m.paired])
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.bincount(at, held, len(v))), pa.array(np.bincount(at, base, len(v)))], ["v", "held", "base"])
-
-    held = pairs.mapInArrow(mass, "v long, held double, base double").groupBy("v").agg(F.sum("held").alias("held"), F.sum("base").alias("base")).toArrow()
-    v = held.column("v").to_numpy()
-    share = np.minimum(DISCOUNT * held.column("held").to_numpy() / np.maximum(counts[v], 1), DISCOUNT)
-    model.back[v] = np.log10((1 - share) / np.maximum(1 - held.column("base").to_numpy(), 1e-9))
-    return model, rare.where("doc is not null").groupBy("doc").agg(F.sum("part").alias("part"), F.sum("known").alias("known"))
-
-
-def _gains(model: Model, at: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each token what its history adds to the log10 of its base probability."""
-    gain = np.zeros(len(at))
-    before = np.empty_like(at)
-    before[1:] = at[:-1]
-    before[first[:-1]] = 0
-    history = (before >= 0) & (before < model.paired)
-    gain[history] = model.back[before[history]]
-    place, pair = _pairs(at, first, model.paired)
-    level = model.bloom.level(pair)
-    place, level = place[level > 0], level[level > 0]
-    p = DISCOUNT * level_count(level, model.bloom.least) / np.maximum(model.counts[before[place]], 1)
-    gain[place] = np.log10(np.minimum(p, DISCOUNT)) - np.log10(model.base(model.counts[at[place]]))
-    return gain
-
-
-def language_model_scores(docs: DataFrame, frequent: int = FREQUENT, paired: int = PAIRED, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_model_scores(docs: DataFrame, frequent: int = FREQUENT, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     Tokens: words with A-Z lowered, then one that closes the text; a null text is empty.  Learns from rows whose
@@ -307,29 +315,44 @@ def language_model_scores(docs: DataFrame, frequent: int = FREQUENT, paired: int
     text, held = F.coalesce(F.col(text_col), F.lit("")), remainder(F.col(id_col), FOLDS) == HELD
     # rows alike in id and text share a key, and so what is gathered under it
     rows = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"), (~held).alias("train"), F.col(id_col).cast("long").alias("doc_id"))
-    model, rare = train(rows, scratch, frequent, paired, bits)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # frequent, paired and bits bound it
-
-    def run(batches):
-        m = shared.value
-        find = T.Lookup(m.words)
-        logs = np.log10(m.counts + 0.5)
-        for piece in T.slices(batches):
-            token, first = _tokens(piece.column(1))
-            at = find(token)
-            there = at >= 0
-            part, known = np.zeros(len(at)), np.zeros(len(at), np.int64)
-            part[there] = logs[at[there]]
-            known[there] = m.counts[at[there]] > 0
-            each = [pa.array(np.add.reduceat(x, first[:-1])) for x in (part, known, _gains(m, at, first))]
-            out = [piece.column(0), piece.column(3), piece.column(2), pa.array(np.diff(first)), *each]
-            yield pa.RecordBatch.from_arrays(out, ["key", "doc_id", "train", "n_tokens", "part0", "known0", "gain"])
-
-    scored = rows.mapInArrow(run, "key long, doc_id long, train boolean, n_tokens long, part0 double, known0 long, gain double")
-    scored = scored.groupBy("key", "doc_id", "train", "n_tokens", "part0", "known0", "gain").agg(F.count(F.lit(1)).alias("times"))
+    models = train(rows, scratch, frequent, piece)
+    model = models[0]
+    rare = _rare_sums(_rare_words(rows, model.words), scratch)
+
+    def pass_over(model: Model):
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches):
+            m = shared.value
+            logs = np.log10(m.counts + 0.5)
+            for piece in T.slices(batches):
+                token, first = _tokens(piece.column(1))
+                at = m.find(token)
+                there = at >= 0
+                part, known = np.zeros(len(at)), np.zeros(len(at), np.int64)
+                part[there] = logs[at[there]]
+                known[there] = m.counts[at[there]] > 0
+                low, high, held = m.known(token, at)
+                before = np.arange(len(at)) - 1
+                heads = first[:-1]
+                high, held = high[before], held[before]
+                high[heads], held[heads] = m.counts[0], m.held[0]
+                score = m.log10(pair_keys(_histories(token, first), token), low, high, held)
+                each = [pa.array(np.add.reduceat(x, heads)) for x in (part, known, score)]
+                out = [piece.column(0), piece.column(3), piece.column(2), pa.array(np.diff(first)), *each]
+                yield pa.RecordBatch.from_arrays(out, ["key", "doc_id", "train", "n_tokens", "part0", "known0", "score"])
+
+        return rows.mapInArrow(run, "key long, doc_id long, train boolean, n_tokens long, part0 double, known0 long, score double")
+
+    # rows of one key are alike, and so are their sums; a further piece adds the tokens whose pairs it holds
+    scored = pass_over(model)
+    for m in models[1:]:
+        scored = scored.unionByName(pass_over(m))
+    times = (F.count(F.lit(1)) / len(models)).cast("long")
+    scored = scored.groupBy("key", "doc_id").agg(*[F.max(c).alias(c) for c in ("train", "n_tokens", "part0", "known0")], (F.sum("score") / times).alias("score"), times.alias("times"))
     out = scored.join(rare.withColumnRenamed("doc", "__doc"), F.col("key") == F.col("__doc"), "left")
     base = F.col("part0") + F.coalesce(F.col("part") / F.col("times"), F.lit(0.0)) - F.col("n_tokens") * float(np.log10(max(model.total + 0.5 * (model.distinct + 1), 0.5)))
     known = F.col("known0") + F.coalesce((F.col("known") / F.col("times")).cast("long"), F.lit(0))
-    out = out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"), "times")
+    out = out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "times")
     out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return out.drop("times", "__copy")
