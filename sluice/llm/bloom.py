@@ -1,8 +1,8 @@
 """Bloom filters of 64-bit hashes with counts on a log scale: built by a Spark job, broadcast, probed in Python workers.
 
 A key of level q is inserted once for each level 1, 2, ..., q, and a reader probes levels until one is missing.  All
-bits of a key lie in one chunk, which the top bits of the key name; so tasks build chunks of their own and none holds
-the whole filter.
+bits of a key lie in one chunk, which the upper half of the key names; so tasks build chunks of their own and none
+holds the whole filter.
 """
 
 from __future__ import annotations
@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from sluice.llm import textkit as T
 
-#: Bytes of a chunk; its bits are numbered by 16 bits of a hash.
+#: Bytes of a chunk; its bits are numbered by the upper 16 bits of a sum of 32 bits.
 CHUNK = 1 << 13
-_ONE = np.uint64(1)
 
 
 def _start(keys: np.ndarray, level: int):
@@ -32,18 +31,17 @@ class LevelBloom:
     first, more: hash functions of level 1, which tells known keys from unknown ones, and of each later level.
     """
 
-    def __init__(self, log_chunks: int, first: int, more: int = 10, top: int = 1, data: np.ndarray | None = None):
-        self.log_chunks, self.first, self.more, self.top = max(1, log_chunks), first, more, top
-        self.data = np.zeros(CHUNK << self.log_chunks, np.uint8) if data is None else data
+    def __init__(self, chunks: int, first: int, more: int = 14, top: int = 1, data: np.ndarray | None = None):
+        self.chunks, self.first, self.more, self.top = max(1, chunks), first, more, top
+        self.data = np.zeros(CHUNK * self.chunks, np.uint8) if data is None else data
 
     @staticmethod
-    def log_chunks_for(level_one: int, later: int, first: int, more: int = 10, most: int = 62) -> int:
-        """The size, as a power of two of chunks, at which about half of the bits are set, most at most."""
-        bits = (level_one * first + later * more) / np.log(2)
-        return min(most, max(1, int(np.ceil(np.log2(max(1.0, bits / (8 * CHUNK)))))))
+    def chunks_for(level_one: int, later: int, first: int, more: int = 14) -> int:
+        """The number of chunks at which about half of the bits are set."""
+        return max(1, int(np.ceil((level_one * first + later * more) / np.log(2) / (8 * CHUNK))))
 
     def chunk(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - self.log_chunks)).astype(np.int64)
+        return ((keys >> np.uint64(32)) * np.uint64(self.chunks) >> np.uint64(32)).astype(np.int64)
 
     def insert(self, keys: np.ndarray, levels: np.ndarray, base: np.ndarray | None = None) -> None:
         """base: the first byte of each key's chunk in data, where data hold some chunks only."""
@@ -54,7 +52,7 @@ class LevelBloom:
             h, step = _start(keys[mine], q)
             at = base[mine]
             for _ in range(self.first if q == 1 else self.more):
-                place = h & np.uint32(0xFFFF)
+                place = h >> np.uint32(16)
                 np.bitwise_or.at(self.data, at + (place >> 3), np.uint8(1) << (place & 7).astype(np.uint8))
                 h = h + step
 
@@ -68,7 +66,7 @@ class LevelBloom:
             h, step = _start(keys[open_], q)
             base = self.chunk(keys[open_]) * CHUNK
             for _ in range(self.first if q == 1 else self.more):
-                place = h & np.uint32(0xFFFF)
+                place = h >> np.uint32(16)
                 hit = (self.data[base + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1
                 if not hit.all():
                     open_, base, h, step = open_[hit], base[hit], h[hit], step[hit]
@@ -77,10 +75,9 @@ class LevelBloom:
         return out
 
 
-def build(rows: DataFrame, log_chunks: int, first: int, more: int = 10, top: int = 1) -> LevelBloom:
+def build(rows: DataFrame, chunks: int, first: int, more: int = 14, top: int = 1) -> LevelBloom:
     """The filter of rows (key long, level int).  Each task builds the chunks that are dealt to it; the driver joins them."""
-    shape = LevelBloom(log_chunks, first, more, top, np.zeros(0, np.uint8))
-    bits = shape.log_chunks
+    shape = LevelBloom(chunks, first, more, top, np.zeros(0, np.uint8))
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -88,16 +85,16 @@ def build(rows: DataFrame, log_chunks: int, first: int, more: int = 10, top: int
             return
         key = np.concatenate([b.column(0).to_numpy() for b in parts]).view(np.uint64)
         level = np.concatenate([b.column(1).to_numpy() for b in parts])
-        chunks, at = np.unique((key >> np.uint64(64 - bits)).astype(np.int64), return_inverse=True)
-        own = LevelBloom(bits, first, more, top, np.zeros(len(chunks) * CHUNK, np.uint8))
+        mine, at = np.unique(shape.chunk(key), return_inverse=True)
+        own = LevelBloom(shape.chunks, first, more, top, np.zeros(len(mine) * CHUNK, np.uint8))
         own.insert(key, level, at * CHUNK)
-        for i in range(0, len(chunks), 64):
-            data = [own.data[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in range(i, min(i + 64, len(chunks)))]
-            yield pa.RecordBatch.from_arrays([pa.array(chunks[i : i + 64]), pa.array(data, pa.binary())], ["chunk", "data"])
+        for i in range(0, len(mine), 64):
+            data = [own.data[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in range(i, min(i + 64, len(mine)))]
+            yield pa.RecordBatch.from_arrays([pa.array(mine[i : i + 64]), pa.array(data, pa.binary())], ["chunk", "data"])
         T.release()
 
-    data = np.zeros(CHUNK << bits, np.uint8)
-    dealt = rows.select("key", "level").repartition(F.shiftrightunsigned("key", 64 - bits))
+    data = np.zeros(CHUNK * shape.chunks, np.uint8)
+    dealt = rows.select("key", "level").repartition(F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * shape.chunks, 32))
     for r in dealt.mapInArrow(run, "chunk long, data binary").toLocalIterator():  # the filter's bytes in all
         data[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["data"], np.uint8)
-    return LevelBloom(bits, first, more, top, data)
+    return LevelBloom(shape.chunks, first, more, top, data)

@@ -28,9 +28,10 @@ FREQUENT = 1 << 18
 LEAST = 2
 WEIGHT = 0.9
 #: Hash functions beyond the binary digits of the vocabulary's size: of 2**SURE histories one has a pair held wrongly.
-SURE = 12
-#: Hash functions for words, and the power of two of 8 kB chunks in a piece of the pairs (128 MB).
-WORD_PROBES, PIECE = 14, 14
+#: C(h) leaves room for one such pair, so sums pass 1 where there are two: for about one history of 2**(2 * SURE + 1).
+SURE = 10
+#: Hash functions for words, and the 8 kB chunks of a piece of the pairs at most (128 MB).
+WORD_PROBES, PIECE = 14, 1 << 14
 FOLDS, HELD = 5, 1
 #: The token that closes a text, and the history of its first word: key 1 stands for no word's hash in practice.
 END = np.uint64(1)
@@ -81,7 +82,7 @@ def level_count(level, least: int):
 
 class Model:
     """words: hashes of the frequent words, END first; counts: their training counts; held: what the pairs of each
-    add up to; rare: filter of counts and sums of the other words; pairs: filter of pairs; spare: what pairs held
+    add up to; rare: filter of counts and sums of the other words; pairs: filter of pairs; spare: what a pair held
     wrongly may add to a sum; total, distinct: of all training tokens; piece, pieces: which pairs the filter has."""
 
     def __init__(self, words, counts, held, rare, pairs, spare, total, distinct, piece=0, pieces=1):
@@ -119,7 +120,7 @@ class Model:
 
         key: of the pairs; low: of the tokens; high, held: of their histories.
         """
-        mine = np.flatnonzero(key & np.uint64(self.pieces - 1) == self.piece)
+        mine = np.flatnonzero((key & np.uint64(0xFFFF)) * np.uint64(self.pieces) >> np.uint64(16) == self.piece)
         low, high, held = low[mine], high[mine], held[mine]
         weight = WEIGHT * np.minimum(1.0, held / np.maximum(high, 1.0))
         count = np.zeros(len(mine))
@@ -258,12 +259,14 @@ def train(rows: DataFrame, scratch: Scratch, frequent: int = FREQUENT, piece: in
     leveled = pairs.select("key", _log2("n").alias("level"), "history")  # as LEAST is 2
     number, later, top = _sizes(leveled)
     first = int(distinct).bit_length() + SURE
-    chunks = bloom.LevelBloom.log_chunks_for(number, later, first)
-    pieces = 1 << max(0, chunks - piece)
-    chunks = min(chunks, piece)
+    chunks = bloom.LevelBloom.chunks_for(number, later, first)
+    pieces = -(-chunks // piece)
+    chunks = -(-chunks // pieces)
+    # the same number as in Model.log10
+    place = F.shiftright(F.col("key").bitwiseAND(F.lit(0xFFFF)) * pieces, 16)
     filters, held = [], None
     for k in range(pieces):
-        own = leveled.where(F.col("key").bitwiseAND(F.lit(pieces - 1)) == k) if pieces > 1 else leveled
+        own = leveled.where(place == k)
         filters.append(bloom.build(own.select("key", "level"), chunks, first, top=top))
         shared = context.broadcast(filters[-1])
 
@@ -297,8 +300,8 @@ def train(rows: DataFrame, scratch: Scratch, frequent: int = FREQUENT, piece: in
 
     rest = scratch.write(rest.mapInArrow(entries, "key long, level int"))
     number, later, high = _sizes(rest)
-    rare = bloom.build(rest, bloom.LevelBloom.log_chunks_for(number, later, WORD_PROBES), WORD_PROBES, top=high)
-    spare = LEAST * distinct * 2.0**-first
+    rare = bloom.build(rest, bloom.LevelBloom.chunks_for(number, later, WORD_PROBES), WORD_PROBES, top=high)
+    spare = float(LEAST)
     return [Model(hashes, counts, mass, rare, f, spare, total, distinct, k, pieces) for k, f in enumerate(filters)]
 
 

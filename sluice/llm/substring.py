@@ -30,9 +30,9 @@ LONGEST = 16
 LEAST_WORDS = 10
 #: Words of a window, and windows of which one is kept: every repeated passage of 50 words is found.
 WINDOW, GAP = 26, 25
-#: Hash functions of the filter of repeated hashes, and the power of two of its 8 kB chunks at most (32 MB).  It only
+#: Hash functions of the filter of repeated hashes, and its 8 kB chunks at most (32 MB).  It only
 #: decides which places travel: those of a hash that it holds wrongly meet no other and are dropped.
-PROBES, MOST_CHUNKS = 8, 12
+PROBES, MOST_CHUNKS = 8, 1 << 12
 #: Changed documents up to which their ids are broadcast.
 FEW = 1_000_000
 SPAN, WIDE = 0, 1
@@ -202,8 +202,7 @@ def later_occurrences(docs: DataFrame, kinds=(SPAN, WIDE), run: int = RUN, least
     scratch = Scratch(docs.sparkSession, "spans")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     again = scratch.write(_hashes(rows, kinds, run, least).where("n > 1").select(F.col("h").alias("key"), F.lit(1).alias("level")))
-    size = bloom.LevelBloom.log_chunks_for(again.count(), 0, PROBES, most=MOST_CHUNKS)
-    repeated = bloom.build(again, size, PROBES)
+    repeated = bloom.build(again, min(MOST_CHUNKS, bloom.LevelBloom.chunks_for(again.count(), 0, PROBES)), PROBES)
     scratch.drop(again)
     places = scratch.write(_places(rows, repeated, kinds, run, least))
     first = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place", "before", "after")).alias("first")).where("n > 1")
