@@ -13,15 +13,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm import textkit as T
 from sluice.llm.common import Scratch, connected_components, seeded, ship
 
 LEAST = 0.9
-TABLES = 6
 #: Buckets besides its own that a vector enters in each table.
 PROBES = 3
+#: Share of the pairs at the least cosine that tables are to find, by a measurement over TRIALS random pairs; and tables
+#: at least.
+RECALL, TRIALS, TABLES = 0.98, 512, 6
 #: Mean vectors in a bucket, from which the number of joined hashes of a table follows.
 PER_BUCKET = 128
 #: Members of a bucket that one task compares at a time; a larger bucket meets in pairs of its parts.
@@ -43,8 +47,8 @@ def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def buckets(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
-    """(rows, tables, 1 + probes) bucket numbers, the own one first; x: unit rows.
+def buckets(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROBES, seed: int = SEED, skip: int = 0) -> np.ndarray:
+    """(rows, tables, 1 + probes) bucket numbers, the own one first; x: unit rows; skip: tables to leave out first.
 
     A table joins hashes vertices.  The probes are the buckets with the least loss: one or more hashes changed to
     their second nearest vertex, where that is nearly as near.
@@ -53,9 +57,9 @@ def buckets(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROB
     padded = np.zeros((len(x), width))
     padded[:, : x.shape[1]] = x
     out = np.zeros((len(x), tables, 1 + probes), np.int64)
-    rng = np.random.default_rng(seed)
     for t in range(tables):
         best, loss = [], []
+        rng = np.random.default_rng((seed, skip + t))
         for _ in range(hashes):
             y = rotate(padded, rng.choice([-1.0, 1.0], (3, width)))
             size = np.abs(y)
@@ -87,6 +91,29 @@ def buckets(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROB
     return out
 
 
+def tables_for(width: int, hashes: int, least: float = LEAST, probes: int = PROBES, recall: float = RECALL, seed: int = SEED) -> int:
+    """How many tables find recall of the pairs with a cosine of least: the more hashes are joined, the more it takes.
+
+    Measured on random pairs of that cosine, over tables until they suffice, as tables differ in luck.
+    """
+    rng = np.random.default_rng(seed + 1)
+    width = max(2, width)
+    a, b = rng.normal(size=(2, TRIALS, width))
+    a /= np.sqrt((a * a).sum(1, keepdims=True))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.sqrt((b * b).sum(1, keepdims=True))
+    b = least * a + np.sqrt(max(0.0, 1 - least * least)) * b
+    met, tables = np.zeros(TRIALS, bool), 0
+    while True:
+        step = TABLES if tables < 4 * TABLES else 4 * TABLES
+        x, y = (buckets(v, hashes, step, probes, seed, tables) for v in (a, b))
+        for t in range(step):
+            tables += 1
+            met |= (x[:, t] == y[:, t, :1]).any(1) | (x[:, t, :1] == y[:, t]).any(1)
+            if tables >= TABLES and met.mean() >= recall:
+                return tables
+
+
 def first_meeting(a: np.ndarray, b: np.ndarray, bucket: int, table: int) -> np.ndarray:
     """Whether bucket is the first in which the pairs of rows of a and b (bucket numbers) are candidates."""
     fresh = np.ones(len(a), bool)
@@ -140,29 +167,39 @@ def compare_bucket(x: np.ndarray, keys: np.ndarray, weight: np.ndarray, side: np
     return links, pairs
 
 
-def _unit(column) -> tuple[np.ndarray, np.ndarray]:
-    """(which rows are usable, their unit vectors in double); all usable vectors must have one width."""
-    rows = column.to_pylist()
-    good = np.zeros(len(rows), bool)
-    out, width = [], max((len(r) for r in rows if r), default=0)
-    for i, r in enumerate(rows):
-        if not r or any(v is None for v in r):
-            continue
-        v = np.array(r, np.float64)
-        if not np.isfinite(v).all():
-            continue
-        top = np.abs(v).max()
-        if top == 0:
-            continue
-        v = v / top  # keeps squares in range
-        good[i] = True
-        out.append(np.pad(v / np.sqrt((v * v).sum()), (0, width - len(v))))
-    return good, np.array(out).reshape(len(out), width)
-
-
-def similar_vectors(vectors: DataFrame, least: float = LEAST, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding", part: int = PART) -> DataFrame:
+def _normal(x: np.ndarray) -> np.ndarray:
+    """Rows of x, none of them zero, at length 1; scaled first, which keeps squares in range."""
+    x = x / np.abs(x).max(1, initial=0, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _dense(column) -> np.ndarray:
+    """The rows of a list column in double, zeros after shorter ones and NaN for null components."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    end = np.cumsum(size)
+    owner, place = T.spread(end - size, end)
+    out = np.zeros((len(size), int(size.max(initial=0))))
+    out[owner, place - (end - size)[owner]] = values
+    return out
+
+
+def _packed(column, width: int, kind) -> np.ndarray:
+    """The unit rows of a column of packed components."""
+    out = np.zeros((len(column), width))
+    for i, v in enumerate(column):
+        v = np.frombuffer(v.as_buffer(), kind)
+        out[i, : len(v)] = v
+    return _normal(out) if len(out) else out
+
+
+def similar_vectors(
+    vectors: DataFrame, least: float = LEAST, tables: int | None = None, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding", part: int = PART, hashes: int | None = None
+) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors.
 
+    hashes and tables follow from the number of vectors, such that RECALL of the links at least is found at every size.
+
     Links have a cosine of least or more in double precision.  A vector that is null, empty, zero or holds a null or
     non-finite component links with nothing.  Vectors equal in every component are one class, whose members all link.
     A shorter vector counts as padded with zeros.  Rows repeated with one id are rows like others and link as copies;
@@ -171,32 +208,32 @@ def similar_vectors(vectors: DataFrame, least: float = LEAST, tables: int = TABL
     spark = vectors.sparkSession
     ship(spark)
     scratch = Scratch(spark, "vectors")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    single = dict(vectors.dtypes)[vector_col] == "array<float>"
+    kind = "<f4" if single else "<f8"  # components travel as they came
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("embedding"))
 
     def units(batches):
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 piece = b.slice(at, 4096)
-                good, unit = _unit(piece.column(1))
-                sig = np.full(len(good), None, object)
-                sig[good] = [hashlib.blake2b(np.trim_zeros(u, "b").tobytes(), digest_size=16).hexdigest() for u in unit]
-                data = np.full(len(good), None, object)
-                data[good] = [u.tobytes() for u in unit]
+                x = _dense(piece.column(1))
+                good = np.flatnonzero(np.isfinite(x).all(1) & (x != 0).any(1))
+                sig, data = (np.full(len(x), None, object) for _ in range(2))
+                sig[good] = [hashlib.blake2b(np.trim_zeros(u, "b").tobytes(), digest_size=16).hexdigest() for u in _normal(x[good])]
+                data[good] = [np.trim_zeros(u, "b").tobytes() for u in x[good].astype(kind)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sig, pa.string()), pa.array(data, pa.binary())], ["vec_id", "sig", "unit"])
 
     all_ = scratch.write(rows.mapInArrow(units, "vec_id long, sig string, unit binary"))
-    width = all_.agg(F.max(F.octet_length("unit")).alias("w")).first()["w"] or 8
+    size = all_.agg(F.max(F.octet_length("unit")).alias("w")).first()["w"] or 8
+    width = max(1, size // np.dtype(kind).itemsize)
     classes = scratch.write(all_.where("sig is not null").groupBy("sig").agg(F.count(F.lit(1)).alias("weight"), F.first("unit").alias("unit")))
     number = classes.count()
-    dims = 1 << max(1, int(width // 8 - 1).bit_length())
-    hashes = max(1, round(np.log(max(1, number / PER_BUCKET)) / np.log(2 * dims) + 0.25))
-
-    def matrix(column, width=width // 8):
-        out = np.zeros((len(column), width))
-        for i, v in enumerate(column):
-            v = np.frombuffer(v.as_py())
-            out[i, : len(v)] = v
-        return out
+    dims = 1 << max(1, int(width - 1).bit_length())
+    hashes = hashes or max(1, round(np.log(max(1, number / PER_BUCKET)) / np.log(2 * dims) + 0.25))
+    tables = tables or tables_for(dims, hashes, least, probes)
+
+    def matrix(column):
+        return _packed(column, width, kind)
 
     def hashed(batches):
         for b in batches:

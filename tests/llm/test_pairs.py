@@ -154,6 +154,24 @@ def test_vectors(spark):
     assert sum(found[i] for i in want) >= 0.95 * sum(want.values())
 
 
+@pytest.mark.parametrize("hashes", [1, 2, 3, 4])
+def test_recall_holds_as_hashes_grow(spark, hashes):
+    """Pairs at a cosine just above the least, which are the hardest; single precision, 64 wide."""
+    r = np.random.default_rng(hashes)
+    a, b = r.normal(size=(2, 400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.concatenate((a, 0.905 * a + np.sqrt(1 - 0.905**2) * b)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in embed_dedup.similar_vectors(df, hashes=hashes).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.95 * want.sum()
+    assert all(got[i + 400]["component_id"] == i for i in range(400) if found[i + 400] == 1 == want[i])
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_dedup.similar_vectors(df).count() == 0
