@@ -154,3 +154,32 @@ def test_pipeline(spark, small):
     left = {r["doc_id"] for r in c.near(spark, c.exact(spark, c.language_id(spark, docs, small), small), small).collect()}
     out = c.run(spark, small).select("doc_id").distinct().collect()
     assert {r["doc_id"] for r in out} <= left
+
+
+def test_flows_fit():
+    r = np.random.default_rng(0)
+    for _ in range(200):
+        k = int(r.integers(2, 41))
+        load = r.integers(0, 101, k)
+        wish = np.array([r.multinomial(r.integers(0, n + 1), np.ones(k) / k) for n in load])
+        np.fill_diagonal(wish, 0)
+        flow = sharding.flows(wish, load, np.full(k, 100))
+        assert (flow >= 0).all() and (flow <= wish).all() and (load + flow.sum(0) - flow.sum(1) <= 100).all()
+    full = np.array([[0, 3, 0], [0, 0, 3], [3, 0, 0]])
+    assert (sharding.flows(full, np.full(3, 5), np.full(3, 5)) == full).all()  # full shards swap
+
+
+def _cut(rows):
+    """Rows that are not in their text's fullest shard."""
+    return sum(len(x) - x["shard"].value_counts().iloc[0] for _, x in rows.groupby("text_crc32"))
+
+
+@pytest.mark.parametrize("text", ["id % 2000", "case when id < 1333 then -1 when id < 2533 then 10000 + id % 600 else 20000 + id end"])
+def test_shards_with_little_room(spark, text):
+    """All rows in pairs, so that no shard has room to spare; or a third in one group and 30 % in pairs."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.expr(text).cast("string")).alias("text"))
+    rows = sharding.balanced_shards(df, shards=40).toPandas()
+    assert rows.groupby("shard").size().tolist() == [100] * 40
+    hot = rows["text_crc32"] == zlib.crc32(b"t-1")
+    assert _cut(rows[~hot]) <= 40
+    assert rows[hot]["shard"].nunique() <= 30
