@@ -25,6 +25,8 @@ STEPS = 80
 RATE = 0.2
 #: Standard errors by which an n-gram's share of texts must differ between the classes to get a vector.
 LEAST_Z = 5.0
+#: Toxic texts from which an n-gram gets a vector however many labels there are, if no clean text holds it.
+FEW = 8
 FOLDS, HELD = 5, 0
 
 
@@ -104,7 +106,8 @@ def _bag(texts: pa.Array, slots: int):
 
 
 def telling(slot, edges, row, col, labels: np.ndarray, slots: int, least: float = LEAST_Z) -> np.ndarray:
-    """Whether the classes' shares of texts that hold a slot differ by at least least standard errors."""
+    """Whether the classes' shares of texts that hold a slot differ by at least least standard errors, or FEW toxic
+    texts hold it and no clean one."""
     held = np.zeros((2, slots), np.int64)
     ends = np.append(edges, len(slot))
     cut = np.searchsorted(row, np.arange(len(labels) + 1))
@@ -114,7 +117,7 @@ def telling(slot, edges, row, col, labels: np.ndarray, slots: int, least: float
     n = np.bincount(labels.astype(int), minlength=2)
     share, both = held / n[:, None], held.sum(0) / n.sum()
     error = np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
-    return np.abs(share[1] - share[0]) >= least * np.maximum(error, 1e-9)
+    return (np.abs(share[1] - share[0]) >= least * np.maximum(error, 1e-9)) | ((held[0] == 0) & (held[1] >= FEW))
 
 
 def fit(texts: pa.Array, labels: np.ndarray, steps: int = STEPS, dim: int = DIM, slots: int = SLOTS, rate: float = RATE, seed: int = 3) -> Model:
