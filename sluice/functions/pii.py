@@ -176,24 +176,29 @@ def boost(text: Column, entities: Column, words: dict[str, list[str]] | None = N
 def detect(
     text: Column,
     labels: list[str] | None = None,
-    threshold: float = K.THRESHOLD,
+    threshold=K.THRESHOLD,
     deny: list[str] = (),
     allow: list[str] = (),
     custom: dict[str, str] | None = None,
     context: dict[str, list[str]] | None = None,
     recognised: Column | None = None,
+    only: Column | None = None,
 ) -> Column:
-    """Entities at or above threshold after merging, context and the allow list.
+    """Entities at or above threshold (a value or a column) after merging, context and the allow list.
 
     recognised: entities of a recogniser model, if there is one.  context: more words by label; they raise labels that
-    have words of their own a second time.
+    have words of their own a second time.  only: an array column of the labels that count in a row.
     """
-    found = boost(text, merge(F.concat(deny_entities(text, list(deny)), regex_entities(text, labels, custom)), recognised))
+    by_rule = regex_entities(text, labels, custom)
+    if only is not None:
+        by_rule = F.filter(by_rule, lambda e: F.array_contains(only, e["label"]))
+    found = boost(text, merge(F.concat(deny_entities(text, list(deny)), by_rule), recognised))
     if context:
         found = boost(text, found, {**{k: v for k, v in context.items() if v and k not in K.CONTEXT}, **K.CONTEXT})
     if allow:
         found = F.filter(found, lambda e: ~F.lower(e["text"]).isin([a.lower() for a in allow]))
-    return F.filter(found, lambda e: e["score"] >= F.lit(float(threshold)))
+    threshold = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    return F.filter(found, lambda e: e["score"] >= threshold)
 
 
 def mask(text: Column, entities: Column) -> Column:

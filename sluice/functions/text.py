@@ -47,7 +47,8 @@ def _nfkc(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """NFKC; ASCII is its own normal form, so only other texts change."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _nfkc(F.when(other, text))).otherwise(text)  # the worker gets nulls for the rest
 
 
 def _rebuild(text: Column, pattern: str, change) -> Column:
@@ -198,22 +199,30 @@ def fold(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase + "\u0130\u0131\u017f\u212a", string.ascii_lowercase + "iisk")
 
 
+def injection_found(text: Column, low: Column, min_severity: str = "low", extra: list[tuple[str, str, str]] = ()) -> Column:
+    """array of struct(pattern_label, severity, matched_text) for all patterns that hold, one match each; low: fold(text)."""
+    found = []
+    for (p, label, severity), needles in [*zip(K.INJECTION, NEEDLES, strict=True), *((e, ()) for e in extra)]:
+        if K.SEVERITY[severity] >= K.SEVERITY[min_severity]:
+            p = "(?uU)" + p
+            item = F.struct(F.lit(label).alias("pattern_label"), F.lit(severity).alias("severity"), F.substring(F.regexp_extract(text, p, 0), 1, 120).alias("matched_text"))
+            hit = text.rlike(p)
+            if needles:
+                hit = reduce(lambda a, b: a | b, [low.contains(n) for n in needles]) & hit
+            found.append(F.when(hit, item))
+    return F.array_compact(F.array(*found))
+
+
 def injection_matches(text: Column, min_severity: str = "low", extra: list[tuple[str, str, str]] = ()) -> Column:
-    """array of struct(pattern_label, severity, matched_text) for all patterns that hold, one match each."""
+    return let(fold(text), lambda low: injection_found(text, low, min_severity, extra))
 
-    def body(low: Column) -> Column:
-        found = []
-        for (p, label, severity), needles in [*zip(K.INJECTION, NEEDLES, strict=True), *((e, ()) for e in extra)]:
-            if K.SEVERITY[severity] >= K.SEVERITY[min_severity]:
-                p = "(?uU)" + p
-                item = F.struct(F.lit(label).alias("pattern_label"), F.lit(severity).alias("severity"), F.substring(F.regexp_extract(text, p, 0), 1, 120).alias("matched_text"))
-                hit = text.rlike(p)
-                if needles:
-                    hit = reduce(lambda a, b: a | b, [low.contains(n) for n in needles]) & hit
-                found.append(F.when(hit, item))
-        return F.array_compact(F.array(*found))
 
-    return let(fold(text), body)
+def with_injection(df, text: str, out: str, min_severity: str = "low", extra: list[tuple[str, str, str]] = ()):
+    """df with struct out as injection() gives it, in steps that are compiled; text names a column."""
+    low, found = f"__low_{out}", f"__found_{out}"
+    rows = df.withColumn(low, fold(F.col(text)))
+    rows = rows.withColumn(found, injection_found(F.col(text), F.col(low), min_severity, extra)).drop(low)
+    return rows.withColumn(out, _summary(F.col(found))).drop(found)
 
 
 def worst(matches: Column) -> Column:
@@ -222,13 +231,13 @@ def worst(matches: Column) -> Column:
     return F.aggregate(F.slice(matches, 2, 1 << 20), F.get(matches, F.lit(0)), lambda acc, m: F.when(rank(m) > rank(acc), m).otherwise(acc))
 
 
-def injection(text: Column, min_severity: str = "low", extra: list[tuple[str, str, str]] = ()) -> Column:
-    """struct(detected, severity, matched_pattern, matches)."""
+def _summary(m: Column) -> Column:
+    return F.struct((F.size(m) > 0).alias("detected"), worst(m)["severity"].alias("severity"), worst(m)["pattern_label"].alias("matched_pattern"), m.alias("matches"))
 
-    def body(m):
-        return F.struct((F.size(m) > 0).alias("detected"), worst(m)["severity"].alias("severity"), worst(m)["pattern_label"].alias("matched_pattern"), m.alias("matches"))
 
-    return let(injection_matches(text, min_severity, extra), body)
+def injection(text: Column, min_severity: str = "low", extra: list[tuple[str, str, str]] = ()) -> Column:
+    """struct(detected, severity, matched_pattern, matches)."""
+    return let(injection_matches(text, min_severity, extra), _summary)
 
 
 def injection_blocks(gate: Column, found: Column) -> Column:
@@ -261,17 +270,20 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def cascade(prob: Column, mode: str = "safety", slow: Column | None = None, fail_open: bool = False) -> Column:
+def cascade(prob: Column, mode="safety", slow: Column | None = None, fail_open=False) -> Column:
     """struct(safe, path) of the cascade: fast verdicts above 0.85 or, for speed, below 0.15; else the slow verdict,
-    the fast one where there is none, and fail_open where there is neither."""
+    the fast one where there is none, and fail_open where there is neither.  Any mode but speed is safety.
+
+    mode and fail_open are values or columns; safe and path are never null.
+    """
     slow = F.lit(None).cast("boolean") if slow is None else slow
-    sure = F.when(prob > 0.85, F.lit(False))
-    path = F.when(prob > 0.85, "fast_unsafe")
-    if mode == "speed":
-        sure, path = sure.when(prob < 0.15, True), path.when(prob < 0.15, "fast_safe")
-    sure = sure.when(slow.isNotNull(), slow).when(prob.isNotNull(), prob < 0.5).otherwise(F.lit(fail_open))
-    path = path.when(slow.isNotNull(), "escalated").when(prob.isNotNull(), "fast_fallback").otherwise(F.lit("fail_open" if fail_open else "fail_closed"))
-    return F.struct(sure.alias("safe"), path.alias("path"))
+    mode = F.lit(mode) if isinstance(mode, str) else mode
+    fail_open = F.lit(fail_open) if isinstance(fail_open, bool) else fail_open
+    quick = F.coalesce((mode == "speed") & (prob < 0.15), F.lit(False))
+    sure = F.when(prob > 0.85, F.lit(False)).when(quick, True).when(slow.isNotNull(), slow).when(prob.isNotNull(), prob < 0.5)
+    path = F.when(prob > 0.85, "fast_unsafe").when(quick, "fast_safe").when(slow.isNotNull(), "escalated").when(prob.isNotNull(), "fast_fallback")
+    blind = F.when(F.coalesce(fail_open, F.lit(False)), "fail_open").otherwise("fail_closed")
+    return F.struct(sure.otherwise(F.coalesce(fail_open, F.lit(False))).alias("safe"), path.otherwise(blind).alias("path"))
 
 
 def action(allowed: Column, safe: Column, has_pii: Column, pii_action: Column) -> Column:

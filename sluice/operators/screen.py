@@ -14,14 +14,19 @@ from sluice.functions import text as X
 
 @dataclass(frozen=True)
 class Screening:
-    """What a screen does.  classifier and recogniser are Column functions of models (text -> probability of harm;
-    text -> entities); without them those gates are rules only."""
+    """What a screen does.
+
+    classifier (text -> probability of harm), slow (text -> whether it is safe, or null) and recogniser (text ->
+    entities) are Column functions of models.  They get null in place of texts that earlier gates have blocked.
+    Without them those gates are rules only.  A classifier without an answer blocks, unless fail_open.
+    """
 
     scan_injection: bool = True
     pii_enabled: bool = True
     pii_labels: tuple = tuple(K.PII_LABELS)
     pii_action: str = "mask"
     pii_threshold: float = K.THRESHOLD
+    output_pii: bool = True
     deny: tuple = ()
     allow: tuple = tuple(K.GREETINGS)
     custom_patterns: dict = field(default_factory=dict)
@@ -30,93 +35,131 @@ class Screening:
     block_on_unsafe_output: bool = True
     min_confidence: float = 0.0
     cascade_mode: str = "safety"
+    fail_open: bool = False
     classifier: object = None
+    classifier_category: str | None = "unsafe"
+    slow: object = None
     recogniser: object = None
 
 
-def screen(df: DataFrame, policy: Screening = Screening(), text: str = "text", gate: str = "gate") -> DataFrame:
-    """df with a struct screen: action, safe, blocked, category, categories, confidence, reason, entities, has_pii,
-    text (masked where the action is mask), enforced, gates_run.
+#: Fixed value: turns of a history.
+WINDOW = 6
+#: Fields of a policy that a row may bring along, as resolve() gives them.
+BY_ROW = ("pii_enabled", "pii_action", "pii_threshold", "block_on_unsafe_input", "block_on_unsafe_output", "cascade_mode", "fail_open")
+
+
+def screen(
+    df: DataFrame, policy: Screening = Screening(), text: str = "text", gate: str = "gate", policy_col: str | None = None, allowed: Column | None = None, route: Column | None = None, out: str = "screen"
+) -> DataFrame:
+    """df with a struct out: action, safe, blocked, category, block_category, categories, confidence, reason, path,
+    degraded, entities, has_pii, text (masked where the action is mask), enforced, gates_run.  None of action, safe,
+    blocked, enforced and degraded is ever null; a column that is called out already is replaced.
 
     Order: injection (input gates, high and medium), validation, keywords on the raw text, normalisation, classifier
-    and personal data on the normalised text.  The first that blocks ends the chain; later gates then do not run.
+    and personal data on the normalised text, scope, routes.  The first of the first three that blocks ends the chain.
+    policy_col: a struct of resolve(), whose fields stand in for those of policy, row by row.  allowed: whether a text
+    is in scope (null: it is); route: a struct (matched, route_name, action) as with_routes() gives it.
+    Each step is a projection of its own, so nothing is computed twice.
     """
-    raw = F.coalesce(F.col(text), F.lit(""))
-    gate_ = F.col(gate) if gate in df.columns else F.lit("input")
-    seen = {"raw": raw, "form": X.nfkc(X.strip_invisible(raw)), "gate": gate_}
-    if policy.classifier:
-        seen["prob"] = policy.classifier(X.normalize(raw))
+    kept = [c for c in df.columns if c != out]
+    none = F.lit(None)
+    first = {
+        "row": F.struct(*[F.col(f"`{c}`") for c in kept]),
+        "raw": F.coalesce(F.col(text), F.lit("")),
+        "gate": F.coalesce(F.col(gate), F.lit("input")) if gate in df.columns else F.lit("input"),
+        "allowed": F.coalesce(allowed, F.lit(True)) if allowed is not None else F.lit(True),
+        "route": F.struct(*[F.coalesce(route["matched"], F.lit(False)).alias("matched"), route["route_name"].alias("name"), route["action"].alias("action")])
+        if route is not None
+        else F.struct(F.lit(False).alias("matched"), none.cast("string").alias("name"), none.cast("string").alias("action")),
+        "own": F.struct(*[(F.coalesce(F.col(f"`{policy_col}`")[k], F.lit(getattr(policy, k))) if policy_col else F.lit(getattr(policy, k))).alias(k) for k in BY_ROW]),
+    }
+    if policy_col:
+        first["labels"] = F.coalesce(F.col(f"`{policy_col}`")["pii_entities"], F.array(*[F.lit(x) for x in policy.pii_labels]))
+    d = df.select(*[c.alias(k) for k, c in first.items()])
+    c = F.col
+    input_ = c("gate").isin(K.INPUT_GATES)
+    if policy.scan_injection:
+        d = X.with_injection(d, "raw", "found")
+    else:
+        d = d.withColumn("found", none.cast("struct<detected:boolean,severity:string,matched_pattern:string>"))
+    d = d.withColumn("stop", F.coalesce(X.injection_blocks(c("gate"), c("found")), F.lit(False)))
+    d = d.withColumn("reason", F.when(~c("stop"), X.validation_reason(c("raw"))))
+    d = d.withColumn("word", F.when(~c("stop") & c("reason").isNull(), X.keyword_match(c("raw"))))
+    d = d.withColumn("open", ~c("stop") & c("reason").isNull() & c("word").isNull())
+    d = d.withColumn("form", X.nfkc(X.strip_invisible(F.when(c("open"), c("raw")))))
+    d = d.withColumn("text", X.after_nfkc(c("form"))).drop("form")
+    d = d.withColumn("again", F.when(c("open"), X.keyword_match(c("text")))["category"])
+    # models see what is still open only
+    d = d.withColumn("prob", policy.classifier(c("text")).cast("double") if policy.classifier else none.cast("double"))
+    d = d.withColumn("slow", policy.slow(c("text")).cast("boolean") if policy.slow else none.cast("boolean"))
     if policy.recogniser:
-        seen["recognised"] = policy.recogniser(X.normalize(raw))
-
-    # each step binds what it found, so that later ones name it without running it again
-    def scan(a):
-        none = F.lit(None).cast("struct<detected:boolean,severity:string,matched_pattern:string>")
-        found = X.injection(a["raw"]) if policy.scan_injection else none
-        return X.let(found, lambda i: validate(a, i))
-
-    def validate(a, i):
-        stop = F.coalesce(X.injection_blocks(a["gate"], i), F.lit(False))
-        return X.let(F.struct(stop.alias("stop"), F.when(~stop, X.validation_reason(a["raw"])).alias("reason")), lambda v: keywords(a, i, v))
-
-    def keywords(a, i, v):
-        return X.let(F.when(~v["stop"] & v["reason"].isNull(), X.keyword_match(a["raw"])), lambda k: normal(a, i, v, k))
-
-    def normal(a, i, v, k):
-        open_ = ~v["stop"] & v["reason"].isNull() & k.isNull()
-        return X.let(F.struct(open_.alias("open"), F.when(open_, X.after_nfkc(a["form"])).alias("text")), lambda n: model(a, i, v, k, n))
-
-    def model(a, i, v, k, n):
-        again = F.when(n["open"], X.keyword_match(n["text"]))["category"]
-        entities = F.array().cast(P.ENTITIES)
-        if policy.pii_enabled:
-            found = P.detect(n["text"], list(policy.pii_labels), policy.pii_threshold, list(policy.deny), list(policy.allow), policy.custom_patterns, policy.context_words, a["recognised"] if policy.recogniser else None)
-            entities = F.when(n["open"], found).otherwise(entities)
-        return X.let(F.struct(again.alias("category"), entities.alias("entities")), lambda m: result(a, i, v, k, n, m))
-
-    def result(a, i, v, k, n, m):
-        unsafe = ~n["open"] | m["category"].isNotNull()
-        confidence = F.lit(1.0)
-        if policy.classifier:
-            fast = X.cascade(a["prob"], policy.cascade_mode)["safe"]
-            unsafe = unsafe | (~F.coalesce(fast, F.lit(True)) & (a["prob"] >= policy.min_confidence))
-            confidence = F.coalesce(a["prob"], confidence)
-        category = F.when(v["stop"], "injection").when(v["reason"].isNotNull(), "S0").otherwise(F.coalesce(k["category"], m["category"]))
-        has = F.size(m["entities"]) > 0
-        act = X.action(F.lit(True), ~unsafe, has, F.lit(policy.pii_action))
-        input_ = a["gate"].isin(K.INPUT_GATES)
-        by_class = F.when(input_, F.lit(policy.block_on_unsafe_input)).otherwise(F.lit(policy.block_on_unsafe_output))
-        enforced = v["stop"] | (unsafe & by_class) | (has & F.lit(policy.pii_action == "block"))
-        ran = F.array(
-            F.when(input_ & F.lit(policy.scan_injection), F.lit("injection")),
-            F.when(~v["stop"], F.lit("validation")),
-            F.when(~v["stop"] & v["reason"].isNull(), F.lit("keyword")),
-            F.when(n["open"], F.lit("normalize")),
-            F.when(n["open"] & F.lit(policy.classifier is not None), F.lit("classify")),
-            F.when(n["open"] & F.lit(policy.pii_enabled), F.lit("pii")),
-        )
-        return F.struct(
-            act.alias("action"),
-            (~unsafe).alias("safe"),
-            (act == "block").alias("blocked"),
-            category.alias("category"),
-            F.array_compact(F.array(category)).alias("categories"),
-            confidence.alias("confidence"),
-            F.coalesce(v["reason"], i["matched_pattern"]).alias("reason"),
-            m["entities"].alias("entities"),
-            has.alias("has_pii"),
-            F.when(act == "mask", P.mask(n["text"], m["entities"])).otherwise(a["raw"]).alias("text"),
-            enforced.alias("enforced"),
-            F.array_compact(ran).alias("gates_run"),
-        )
-
-    out = X.let(F.struct(*[c.alias(k) for k, c in seen.items()]), scan)
-    return df.select(*[F.col(f"`{c}`") for c in df.columns], out.alias("screen"))
+        d = d.withColumn("recognised", F.coalesce(policy.recogniser(c("text")), F.array().cast(P.ENTITIES)))
+    if policy.pii_enabled or policy_col:
+        wanted = c("open") & c("own.pii_enabled") & (input_ | F.lit(policy.output_pii))
+        found = P.detect(c("text"), list(policy.pii_labels) if not policy_col else None, c("own.pii_threshold"), list(policy.deny), list(policy.allow), policy.custom_patterns, policy.context_words, c("recognised") if policy.recogniser else None, c("labels") if policy_col else None)
+        d = d.withColumn("entities", F.when(wanted, found).otherwise(F.array().cast(P.ENTITIES)))
+    else:
+        wanted = F.lit(False)
+        d = d.withColumn("entities", F.array().cast(P.ENTITIES))
+    if policy.classifier:
+        verdict = X.cascade(c("prob"), c("own.cascade_mode"), c("slow"), c("own.fail_open"))
+        d = d.withColumn("verdict", F.when(c("open") & c("again").isNull(), verdict))
+    else:
+        d = d.withColumn("verdict", none.cast("struct<safe:boolean,path:string>"))
+    doubted = ~F.coalesce(c("verdict.safe"), F.lit(True)) & F.coalesce(c("prob") >= policy.min_confidence, F.lit(True))
+    d = d.withColumn("harm", F.coalesce(doubted, F.lit(True)))
+    d = d.withColumn("unsafe", ~c("open") | c("again").isNotNull() | c("harm"))
+    d = d.withColumn("has", F.size("entities") > 0)
+    outside, routed = c("open") & ~c("allowed"), c("open") & c("route.matched")
+    act = F.when(routed & (c("route.action") == "block"), "block").otherwise(X.action(~outside, ~c("unsafe"), c("has"), c("own.pii_action")))
+    d = d.withColumn("action", act)
+    category = F.when(c("stop"), "injection").when(c("reason").isNotNull(), "S0").otherwise(F.coalesce(c("word.category"), c("again"), F.when(c("harm"), F.lit(policy.classifier_category))))
+    d = d.withColumn("category", category)
+    by_class = F.when(input_, c("own.block_on_unsafe_input")).otherwise(c("own.block_on_unsafe_output"))
+    enforced = c("stop") | outside | F.coalesce(routed & (c("route.action") == "block"), F.lit(False)) | (c("unsafe") & by_class) | (c("has") & (c("own.pii_action") == "block"))
+    rest = ~c("stop") & c("reason").isNull()
+    ran = [(input_ & F.lit(policy.scan_injection), "injection"), (~c("stop"), "validation"), (rest, "keyword"), (c("open"), "normalize")]
+    ran += [(c("verdict").isNotNull(), "classify"), (wanted, "pii"), (c("open") & F.lit(allowed is not None), "scope"), (c("open") & F.lit(route is not None), "route")]
+    result = F.struct(
+        "action",
+        (~c("unsafe")).alias("safe"),
+        (c("action") == "block").alias("blocked"),
+        "category",
+        F.coalesce("category", F.when(outside, "scope"), F.when(routed, c("route.name"))).alias("block_category"),
+        F.array_compact(F.array("category")).alias("categories"),
+        F.coalesce("prob", F.lit(1.0)).alias("confidence"),
+        F.coalesce("reason", "found.matched_pattern").alias("reason"),
+        c("verdict.path").alias("path"),
+        F.coalesce(c("verdict.path").isin("fail_open", "fail_closed"), F.lit(False)).alias("degraded"),
+        "entities",
+        c("has").alias("has_pii"),
+        F.when(c("action") == "mask", P.mask(c("text"), c("entities"))).otherwise(c("raw")).alias("text"),
+        # always true, and not deterministic to the optimiser, which else pushes filters on the verdict through all steps,
+        # each step's expression put in place of its name, until the plan holds millions of them
+        (F.coalesce(enforced, F.lit(True)) & (F.spark_partition_id() >= 0)).alias("enforced"),
+        F.array_compact(F.array(*[F.when(x, F.lit(name)) for x, name in ran])).alias("gates_run"),
+    )
+    return d.select(*[c(f"row.`{k}`").alias(k) for k in kept], result.alias(out))
 
 
 def enforce(screened: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that pass, rows that violate), of the result of screen()."""
-    return screened.where(~F.col("screen.enforced")), screened.where(F.col("screen.enforced"))
+    """(rows that pass, rows that violate), of the result of screen(); a row without a verdict violates."""
+    stop = F.coalesce(F.col("screen.enforced"), F.lit(True))
+    return screened.where(~stop), screened.where(stop)
+
+
+def classify(df: DataFrame, policy: Screening, text: str = "text") -> DataFrame:
+    """df with struct verdict (safe, path): normalised text and classifier alone, without personal data."""
+    d = df.withColumn("__norm", X.normalize(F.coalesce(F.col(text), F.lit("")))).withColumn("__prob", policy.classifier(F.col("__norm")).cast("double"))
+    slow = policy.slow(F.col("__norm")) if policy.slow else None
+    return d.withColumn("verdict", X.cascade(F.col("__prob"), policy.cascade_mode, slow, policy.fail_open)).drop("__norm", "__prob")
+
+
+def cascade_stats(verdicts: DataFrame, path: str = "path") -> DataFrame:
+    """(path, n, pct) of a cascade, in per cent with one decimal."""
+    counts = verdicts.groupBy(F.col(path).alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    total = verdicts.agg(F.count(F.lit(1)).alias("total"))
+    return counts.join(F.broadcast(total), F.lit(True)).select("path", "n", F.round(100 * F.col("n") / F.col("total"), 1).alias("pct"))  # total: one row
 
 
 def first_unsafe(screened: DataFrame, key: str, order: str) -> DataFrame:
@@ -132,7 +175,7 @@ def audit(screened: DataFrame, detailed: bool = False, text: str = "text") -> Da
     return screened.select(F.to_json(F.struct(*fields)).alias("line"))
 
 
-def conversation_payloads(turns: DataFrame, window: int = 5, limit: int = 16_000, key: str = "conv_id", order: str = "turn") -> DataFrame:
+def conversation_payloads(turns: DataFrame, window: int = WINDOW, limit: int = 16_000, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """turns with gate and payload: the last window turns as [ROLE] text and then the new text, the oldest dropped
     until limit characters hold them.  For histories in which nothing is blocked; see conversation() for the others."""
     from pyspark.sql.window import Window
@@ -147,13 +190,15 @@ def conversation_payloads(turns: DataFrame, window: int = 5, limit: int = 16_000
     return turns.withColumns({"gate": gate, "payload": F.array_join(F.slice(parts, F.array_min(fits), n), "\n")})
 
 
-def conversation(turns: DataFrame, verdict, window: int = 5, limit: int = 16_000, store_assistant: bool = True, key: str = "conv_id", order: str = "turn") -> DataFrame:
+def conversation(turns: DataFrame, verdict, window: int = WINDOW, limit: int = 16_000, store_assistant: bool = True, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """(key, order, gate, payload, blocked) by an ordered fold for each conversation: a blocked turn leaves no trace.
 
     verdict: payload, gate -> whether it is blocked, as a Python function.
     """
     import pandas as pd
 
+    types = dict(turns.dtypes)
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         held, out = [], []
         for r in pdf.sort_values(order).itertuples():
@@ -168,4 +213,4 @@ def conversation(turns: DataFrame, verdict, window: int = 5, limit: int = 16_000
             out.append((getattr(r, key), getattr(r, order), gate, payload, blocked))
         return pd.DataFrame(out, columns=[key, order, "gate", "payload", "blocked"])
 
-    return turns.select(key, order, "role", "text").groupBy(key).applyInPandas(fold, f"{key} long, {order} long, gate string, payload string, blocked boolean")
+    return turns.select(key, order, "role", "text").groupBy(key).applyInPandas(fold, f"{key} {types[key]}, {order} {types[order]}, gate string, payload string, blocked boolean")
