@@ -42,6 +42,19 @@ class Screening:
     recogniser: object = None
 
 
+_built: dict = {}
+
+
+def _once(key, build) -> Column:
+    """build(), kept for the next screen of this JVM: thousands of expression nodes take seconds to put together."""
+    from pyspark import SparkContext
+
+    key = (id(SparkContext._active_spark_context), repr(key))
+    if key not in _built:
+        _built[key] = build()
+    return _built[key]
+
+
 #: Fixed value: turns of a history.
 WINDOW = 6
 #: Fields of a policy that a row may bring along, as resolve() gives them.
@@ -83,12 +96,12 @@ def screen(
     else:
         d = d.withColumn("found", none.cast("struct<detected:boolean,severity:string,matched_pattern:string>"))
     d = d.withColumn("stop", F.coalesce(X.injection_blocks(c("gate"), c("found")), F.lit(False)))
-    d = d.withColumn("reason", F.when(~c("stop"), X.validation_reason(c("raw"))))
-    d = d.withColumn("word", F.when(~c("stop") & c("reason").isNull(), X.keyword_match(c("raw"))))
+    d = d.withColumn("reason", F.when(~c("stop"), _once("reason", lambda: X.validation_reason(c("raw")))))
+    d = d.withColumn("word", F.when(~c("stop") & c("reason").isNull(), _once("raw", lambda: X.keyword_match(c("raw")))))
     d = d.withColumn("open", ~c("stop") & c("reason").isNull() & c("word").isNull())
     d = d.withColumn("form", X.nfkc(X.strip_invisible(F.when(c("open"), c("raw")))))
-    d = d.withColumn("text", X.after_nfkc(c("form"))).drop("form")
-    d = d.withColumn("again", F.when(c("open"), X.keyword_match(c("text")))["category"])
+    d = d.withColumn("text", _once("form", lambda: X.after_nfkc(c("form")))).drop("form")
+    d = d.withColumn("again", F.when(c("open"), _once("text", lambda: X.keyword_match(c("text"))))["category"])
     # models see what is still open only
     d = d.withColumn("prob", policy.classifier(c("text")).cast("double") if policy.classifier else none.cast("double"))
     d = d.withColumn("slow", policy.slow(c("text")).cast("boolean") if policy.slow else none.cast("boolean"))
@@ -96,7 +109,11 @@ def screen(
         d = d.withColumn("recognised", F.coalesce(policy.recogniser(c("text")), F.array().cast(P.ENTITIES)))
     if policy.pii_enabled or policy_col:
         wanted = c("open") & c("own.pii_enabled") & (input_ | F.lit(policy.output_pii))
-        found = P.detect(c("text"), list(policy.pii_labels) if not policy_col else None, c("own.pii_threshold"), list(policy.deny), list(policy.allow), policy.custom_patterns, policy.context_words, c("recognised") if policy.recogniser else None, c("labels") if policy_col else None)
+        labels = list(policy.pii_labels) if not policy_col else None
+        more = (list(policy.deny), list(policy.allow), policy.custom_patterns, policy.context_words)
+        model, only = c("recognised") if policy.recogniser else None, c("labels") if policy_col else None
+        key = ("pii", labels, more, bool(policy.recogniser), bool(policy_col))
+        found = _once(key, lambda: P.detect(c("text"), labels, c("own.pii_threshold"), *more, model, only))
         d = d.withColumn("entities", F.when(wanted, found).otherwise(F.array().cast(P.ENTITIES)))
     else:
         wanted = F.lit(False)
@@ -133,7 +150,7 @@ def screen(
         F.coalesce(c("verdict.path").isin("fail_open", "fail_closed"), F.lit(False)).alias("degraded"),
         "entities",
         c("has").alias("has_pii"),
-        F.when(c("action") == "mask", P.mask(c("text"), c("entities"))).otherwise(c("raw")).alias("text"),
+        F.when(c("action") == "mask", _once("mask", lambda: P.mask(c("text"), c("entities")))).otherwise(c("raw")).alias("text"),
         # always true, and not deterministic to the optimiser, which else pushes filters on the verdict through all steps,
         # each step's expression put in place of its name, until the plan holds millions of them
         (F.coalesce(enforced, F.lit(True)) & (F.spark_partition_id() >= 0)).alias("enforced"),

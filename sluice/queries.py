@@ -23,7 +23,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _injection(spark, d):
-    return _docs(spark, d).select("doc_id", X.injection(F.col("text")).alias("i")).select("doc_id", "i.detected", "i.severity", "i.matched_pattern", F.size("i.matches").alias("n_matches"))
+    return X.with_injection(_docs(spark, d).select("doc_id", "text"), "text", "i").select("doc_id", "i.detected", "i.severity", "i.matched_pattern", F.size("i.matches").alias("n_matches"))
 
 
 def _validate(spark, d):
@@ -64,7 +64,7 @@ def _screen(spark, d):
 
 
 def _conversation(spark, d):
-    rows = screen.conversation_payloads(_t(spark, d, "conversations"), window=3)
+    rows = screen.conversation_payloads(_t(spark, d, "conversations"))
     return rows.select("conv_id", "turn", "gate", F.length("payload").alias("payload_chars"), F.sha2("payload", 256).alias("payload_sha"))
 
 
@@ -208,7 +208,7 @@ select w.doc_id, case when length(text) > 32768 then 'input_too_long' when not r
 from w left join c on c.doc_id = w.doc_id
 """,
         "conversation_payloads": r"""
-with p as (select conv_id, turn, role, text, list('[' || upper(role) || '] ' || coalesce(text, '')) over (partition by conv_id order by turn rows between 3 preceding and 1 preceding) as past from conversations),
+with p as (select conv_id, turn, role, text, list('[' || upper(role) || '] ' || coalesce(text, '')) over (partition by conv_id order by turn rows between 6 preceding and 1 preceding) as past from conversations),
 q as (select *, array_to_string(list_append(coalesce(past, []), coalesce(text, '')), chr(10)) as payload from p)
 select conv_id, turn, case role when 'user' then 'input' when 'system' then 'prompt' else 'output' end as gate,
   length(payload) as payload_chars, sha256(payload) as payload_sha from q
