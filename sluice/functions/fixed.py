@@ -185,3 +185,16 @@ CLAIM_FACTUAL = [
     r"\b(?:can be|will be|should be|must be|designed to|built for|works by|known as|defined as|referred to)\b",
     r"\b\d+\b",
 ]
+
+# The public conversation format of Llama Guard 3, in pieces.
+PROMPT = {
+    "head": "<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n\nTask: ",
+    "input": "Check if there is unsafe content in the 'User' message according to our safety policy with the below categories.",
+    "output": "Check if there is unsafe content in the 'Agent' messages according to our safety policy with the below categories.",
+    "categories": "\n\n<BEGIN UNSAFE CONTENT CATEGORIES>\nLIST\n<END UNSAFE CONTENT CATEGORIES>\n\n",
+    "input_begin": "<BEGIN USER MESSAGE>\nUser: ",
+    "input_end": "\n<END USER MESSAGE>",
+    "output_begin": "<BEGIN CONVERSATION>\nAgent: ",
+    "output_end": "\n<END CONVERSATION>",
+    "tail": "\n\nProvide your safety assessment for the above content:\n- First line must read 'safe' or 'unsafe'.\n- If unsafe, a second line must include a comma-separated list of violated categories.\n<|eot_id|><|start_header_id|>assistant<|end_header_id|>",
+}

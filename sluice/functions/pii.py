@@ -240,6 +240,21 @@ def vault_entries(df, text: str, entities: str, session: str, salt: str):
     return rows.select("session", vault_token(salt, F.col("session"), F.col("label"), F.col("original")).alias("token"), "label", "original")
 
 
+def vault_original(entries, session, token: str):
+    """(original,): the value of a token in a session of vault_entries(); no row where it is unknown."""
+    return entries.where((F.col("session") == F.lit(session)) & (F.col("token") == token)).select("original")
+
+
+def vault_sizes(entries):
+    """(session, n): how many values each session holds."""
+    return entries.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+
+
+def vault_cleared(entries, sessions):
+    """The entries that stay when sessions (session) have ended."""
+    return entries.join(sessions.select("session").distinct(), "session", "left_anti")
+
+
 def restore(text: Column, vault: Column) -> Column:
     """Known tokens (a map token to original) as their originals; unknown ones stay."""
     gaps = F.split(text, TOKEN, -1)

@@ -261,6 +261,16 @@ def parse_verdict(raw: Column) -> Column:
     return F.struct(safe.alias("safe"), F.when(~safe, F.get(codes, F.lit(0))).alias("category"), F.when(safe, none).otherwise(codes).alias("categories"))
 
 
+def guard_prompt(text: Column, gate: Column, categories: list[str] | None = None) -> Column:
+    """What a guard model of the Llama Guard 3 format is asked about a text; the gate output asks of the agent's words."""
+    listed = "\n".join(f"{c}: {K.CATEGORIES.get(c, c)}" for c in categories or K.CATEGORIES)
+    is_input = gate.isin(K.INPUT_GATES)
+    asked = F.when(is_input, K.PROMPT["input"]).otherwise(K.PROMPT["output"])
+    begin, end = (F.when(is_input, K.PROMPT[f"input_{x}"]).otherwise(K.PROMPT[f"output_{x}"]) for x in ("begin", "end"))
+    middle = F.lit(K.PROMPT["categories"].replace("LIST", listed))
+    return F.concat(F.lit(K.PROMPT["head"]), asked, middle, begin, F.coalesce(text, F.lit("")), end, F.lit(K.PROMPT["tail"]))
+
+
 def softmax(logits: Column) -> Column:
     e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))

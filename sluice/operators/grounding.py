@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sluice.functions import fixed as K
 from sluice.functions.text import any_match, strip
@@ -11,6 +12,10 @@ from sluice.operators.vectors import dot
 
 #: Decision thresholds.
 GROUNDED, UNCERTAIN, CONTRADICTED, NEUTRAL, WEAK, FAITHFUL = 0.55, 0.3, 0.7, 0.65, 0.5, 0.5
+#: Least length of what a response is checked by, and chunks that a model reads for each claim.
+LEAST, CHUNKS = 20, 3
+#: The grounding of a blocked response; counts are 0.
+SKIPPED = {"is_grounded": True, "faithfulness_score": 1.0, "has_contradiction": False}
 
 
 def _parts(text: Column) -> Column:
@@ -47,6 +52,12 @@ def claims(text: Column, least: int = 25) -> Column:
     return F.when(F.size(strict) > 0, strict).otherwise(loose)
 
 
+def checkable(text: Column, least: int = LEAST) -> Column:
+    """What a response is checked by: its claims, or its sentences where it has none."""
+    found = claims(text, least)
+    return F.when(F.size(found) > 0, found).otherwise(sentences(text, least))
+
+
 def speed_verdict(similarity: Column) -> Column:
     return F.when(similarity >= GROUNDED, "grounded").when(similarity >= UNCERTAIN, "uncertain").otherwise("ungrounded")
 
@@ -74,6 +85,40 @@ def speed_check(claim_rows: DataFrame, chunks: DataFrame, key: str = "resp_id")
     return rows.select(key, "claim_ix", "b.score", F.col("b.chunk").alias("matched_chunk"), speed_verdict(F.col("b.score")).alias("verdict"))
 
 
+def accuracy_check(claim_rows: DataFrame, chunks: DataFrame, model, top: int = CHUNKS, key: str = "resp_id") -> DataFrame:
+    """(key, claim_ix, entailment, contradiction, neutral, nli_entailment, matched_chunk, verdict) of each claim.
+
+    model: claim and chunk columns -> struct (entail, contra, neutral).  It reads the top most similar chunks of a claim;
+    the chunk of the highest entailment counts, of equals the more similar one.  entailment is at least the similarity
+    where that alone grounds a neutral claim; nli_entailment stays the model's.  claim_rows: key, claim_ix, claim, vec;
+    a claim of a response without chunks gives no row.
+    """
+    pairs = claim_rows.join(chunks.select(key, "chunk_ix", "chunk", F.col("vec").alias("__c")), key)
+    pairs = pairs.select(key, "claim_ix", "claim", "chunk_ix", "chunk", dot(F.col("vec"), F.col("__c")).alias("__s"))
+    order = Window.partitionBy(key, "claim_ix").orderBy(F.desc("__s"), "chunk_ix")
+    near = pairs.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= top)
+    read = near.withColumn("__p", model(F.col("claim"), F.col("chunk")))
+    e, c, n, s = F.col("__p.entail"), F.col("__p.contra"), F.col("__p.neutral"), F.col("__s")
+    verdict = nli_verdict(e, c, n, s)
+    by_similarity = (e < GROUNDED) & (verdict == "grounded")
+    found = F.struct(e.alias("nli_entailment"), (-F.col("__r")).alias("rank"), F.when(by_similarity, F.greatest(e, s)).otherwise(e).alias("entailment"), c.alias("contradiction"), n.alias("neutral"), F.substring("chunk", 1, 200).alias("matched_chunk"), verdict.alias("verdict"))
+    best = read.groupBy(key, "claim_ix").agg(F.max(found).alias("b"))
+    return best.select(key, "claim_ix", "b.entailment", "b.contradiction", "b.neutral", "b.nli_entailment", "b.matched_chunk", "b.verdict")
+
+
+def screen_grounded(screened: DataFrame, checked: DataFrame, mode: str = "accuracy", key: str = "resp_id") -> DataFrame:
+    """screened with struct grounding: that of totals() and its mode; a blocked response counts as grounded, skipped.
+
+    checked comes from the screened text of responses (screen.text); it may leave out blocked ones.
+    """
+    names = [x for x in checked.columns if x != key]
+    types = dict(checked.dtypes)
+    held = checked.select(F.col(key).alias("__key"), F.struct(*names, F.lit(mode).alias("mode")).alias("__g"))
+    skipped = F.struct(*[F.lit(SKIPPED.get(x, 0)).cast(types[x]).alias(x) for x in names], F.lit("skipped").alias("mode"))
+    rows = screened.join(held, F.col(key) == F.col("__key"), "left")
+    return rows.select(*[screened[x] for x in screened.columns], F.when(F.col("screen.blocked"), skipped).otherwise(F.col("__g")).alias("grounding"))
+
+
 def totals(verdicts: DataFrame, responses: DataFrame, key: str = "resp_id") -> DataFrame:
     """Counts and faithfulness by response; responses: key, has_sources.
 

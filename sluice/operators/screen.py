@@ -165,6 +165,17 @@ def enforce(screened: DataFrame) -> tuple[DataFrame, DataFrame]:
     return screened.where(~stop), screened.where(stop)
 
 
+def violations(screened: DataFrame, key: str, gate: str = "gate") -> DataFrame:
+    """(key, gate, category, labels, description) of the rows that violate; personal data alone give the category pii
+    and their labels, distinct and in order."""
+    rows = enforce(screened)[1]
+    data = F.coalesce(F.col("screen.has_pii"), F.lit(False)) & F.col("screen.block_category").isNull()
+    labels = F.when(data, F.array_sort(F.array_distinct(F.transform("screen.entities", lambda e: e["label"]))))
+    category = F.when(data, "pii").otherwise(F.col("screen.block_category"))
+    found = F.concat(F.size("screen.entities").cast("string"), F.lit(" entities: "), F.array_join(labels, ", "))
+    return rows.select(key, gate, category.alias("category"), labels.alias("labels"), F.when(data, found).otherwise(F.col("screen.reason")).alias("description"))
+
+
 def classify(df: DataFrame, policy: Screening, text: str = "text") -> DataFrame:
     """df with struct verdict (safe, path): normalised text and classifier alone, without personal data."""
     d = df.withColumn("__norm", X.normalize(F.coalesce(F.col(text), F.lit("")))).withColumn("__prob", policy.classifier(F.col("__norm")).cast("double"))
@@ -207,10 +218,11 @@ def conversation_payloads(turns: DataFrame, window: int = WINDOW, limit: int = 1
     return turns.withColumns({"gate": gate, "payload": F.array_join(F.slice(parts, F.array_min(fits), n), "\n")})
 
 
-def conversation(turns: DataFrame, verdict, window: int = WINDOW, limit: int = 16_000, store_assistant: bool = True, key: str = "conv_id", order: str = "turn") -> DataFrame:
+def conversation(turns: DataFrame, verdict, window: int = WINDOW, limit: int = 16_000, store_assistant: bool = True, key: str = "conv_id", order: str = "turn", screened: str | None = None) -> DataFrame:
     """(key, order, gate, payload, blocked) by an ordered fold for each conversation: a blocked turn leaves no trace.
 
-    verdict: payload, gate -> whether it is blocked, as a Python function.
+    verdict: payload, gate -> whether it is blocked, as a Python function.  screened: a boolean column; a turn where it
+    is false joins the history as it is, whatever its role, and is not blocked.
     """
     import pandas as pd
 
@@ -224,10 +236,11 @@ def conversation(turns: DataFrame, verdict, window: int = WINDOW, limit: int = 1
             while len(parts) > 1 and len("\n".join(parts)) > limit:
                 parts.pop(0)
             payload = "\n".join(parts)
-            blocked = bool(verdict(payload, gate))
-            if not blocked and (r.role == "user" or store_assistant):
+            own = screened is not None and not getattr(r, screened)
+            blocked = not own and bool(verdict(payload, gate))
+            if own or not blocked and (r.role == "user" or store_assistant):
                 held = [*held, f"[{r.role.upper()}] {r.text or ''}"][-window:]
             out.append((getattr(r, key), getattr(r, order), gate, payload, blocked))
         return pd.DataFrame(out, columns=[key, order, "gate", "payload", "blocked"])
 
-    return turns.select(key, order, "role", "text").groupBy(key).applyInPandas(fold, f"{key} {types[key]}, {order} {types[order]}, gate string, payload string, blocked boolean")
+    return turns.select(key, order, "role", "text", *([screened] if screened else [])).groupBy(key).applyInPandas(fold, f"{key} {types[key]}, {order} {types[order]}, gate string, payload string, blocked boolean")

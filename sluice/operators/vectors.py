@@ -21,6 +21,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Numbers that a broadcast profile may hold (64 MB of doubles).
+MOST = 1 << 23
+#: The reasons of a scope check.
+REASONS = {
+    "none": "No scope restriction configured.",
+    "free": "Greeting or short query - allowed by default.",
+    "match": "Query matches topic '%s' (similarity=%.3f, threshold=%.2f).",
+    "off": "Query is off-topic. Closest topic '%s' (similarity=%.3f) below threshold (%.2f).",
+}
+
+
 def l2(v: Column) -> Column:
     """The unit vector; a zero vector stays."""
     n = F.sqrt(dot(v, v))
@@ -34,36 +45,50 @@ def mean_vector(df: DataFrame, keys: list[str], vector: str, out: str = "centroi
     return rows.select(*keys, l2(F.col("v")).alias(out))
 
 
-def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """A profile table for broadcast; its size is checked."""
-    n = df.count()
+def _packed(profile: DataFrame, *columns: str, most: int = MOST) -> DataFrame:
+    """The rows of a profile as one sorted array __profile, for broadcast; their size is checked before they are gathered."""
+    n = profile.agg(F.sum(F.size("centroid") + F.lit(8))).first()[0] or 0
     if n > most:
-        raise ValueError(f"a profile of {n} rows is more than {most}")
-    return F.broadcast(df)
+        raise ValueError(f"a profile of {n} numbers is more than {most}")
+    return F.broadcast(profile.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("__profile")))
+
+
+def _nearest(queries: DataFrame, topics: DataFrame, vector: str) -> DataFrame:
+    """queries with struct __best (similarity, rank, topic), null without topics."""
+    rows = _packed(topics, "ix", "topic", "centroid")
+    each = F.transform("__profile", lambda t: F.struct(dot(F.col(vector), t["centroid"]).alias("similarity"), (-t["ix"]).alias("rank"), t["topic"].alias("topic")))
+    return queries.join(rows, F.lit(True)).select(*[F.col(f"`{c}`") for c in queries.columns], F.array_max(each).alias("__best"))
 
 
 def best_topic(queries: DataFrame, topics: DataFrame, key: str = "id", vector: str = "vec") -> DataFrame:
     """(key, topic, similarity): the nearest topic of each query; ties go to the lowest index (topics: ix, topic, centroid)."""
-    rows = _small(topics.agg(F.array_sort(F.collect_list(F.struct("ix", "topic", "centroid"))).alias("__topics")))
-    scored = queries.join(rows, F.lit(True)).select(key, F.transform("__topics", lambda t: F.struct(dot(F.col(vector), t["centroid"]).alias("similarity"), (-t["ix"]).alias("rank"), t["topic"].alias("topic"))).alias("s"))
-    return scored.select(key, F.array_max("s").alias("b")).select(key, "b.topic", "b.similarity")
+    return _nearest(queries, topics, vector).select(key, "__best.topic", "__best.similarity")
 
 
 def scope_check(queries: DataFrame, topics: DataFrame, centroid: list[float], threshold: float = WIDTHS["moderate"], key: str = "id", text: str = "text", vector: str = "vec") -> DataFrame:
-    """(key, allowed, distance, matched_topic, confidence, reason); greetings and texts under three characters pass."""
-    best = best_topic(queries, topics, key, vector)
-    whole = dot(F.col(vector), F.array(*[F.lit(float(x)) for x in centroid]))
-    rows = queries.select(key, text, whole.alias("whole")).join(best, key)
-    plain = F.lower(F.trim(F.col(text)))
-    free = plain.isin(K.GREETINGS) | (F.length(plain) < 3)
-    score = F.greatest("whole", "similarity")
+    """(key, allowed, distance, matched_topic, confidence, reason); greetings and texts under three characters pass,
+    and so does everything where there are no topics.  A query without a vector is off topic."""
+    whole = dot(F.col(vector), F.array(*[F.lit(float(x)) for x in centroid])) if centroid else F.lit(None).cast("double")
+    rows = _nearest(queries, topics, vector).withColumn("__score", F.coalesce(F.greatest(whole, F.col("__best.similarity")), F.lit(0.0)))
+    plain = F.lower(F.trim(F.coalesce(F.col(text), F.lit(""))))
+    none = F.col("__best").isNull()
+    free = none | plain.isin(K.GREETINGS) | (F.length(plain) < 3)
+    score, topic, near = F.col("__score"), F.col("__best.topic"), F.coalesce("__best.similarity", F.lit(0.0))
+    allowed = score >= threshold
+    limit = F.lit(float(threshold))
+    reason = (
+        F.when(none, REASONS["none"])
+        .when(free, REASONS["free"])
+        .when(allowed, F.format_string(REASONS["match"], topic, near, limit))
+        .otherwise(F.format_string(REASONS["off"], topic, near, limit))
+    )
     return rows.select(
         key,
-        (free | (score >= threshold)).alias("allowed"),
+        (free | allowed).alias("allowed"),
         F.when(free, F.lit(0.0)).otherwise(F.round(1 - score, 4)).alias("distance"),
-        F.when(~free & (F.col("similarity") > 0.1), F.col("topic")).alias("matched_topic"),
-        F.when(free, F.lit(1.0)).otherwise(score).alias("confidence"),
-        F.when(~free & (score < threshold), F.lit("out of scope")).alias("reason"),
+        F.when(~free & (near > 0.1), topic).alias("matched_topic"),
+        F.when(free, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))).alias("confidence"),
+        reason.alias("reason"),
     )
 
 
@@ -73,11 +98,11 @@ def routes(queries: DataFrame, utterances: DataFrame, key: str = "id", vector: s
     utterances: route_ix, route_name, action, threshold, centroid.  Matched routes at or above their threshold; the
     highest similarity wins, the first of equals, and it must be above 0.
     """
-    rows = _small(utterances.agg(F.collect_list(F.struct("route_ix", "route_name", "action", "threshold", "centroid")).alias("__u")))
+    rows = _packed(utterances, "route_ix", "route_name", "action", "threshold", "centroid")
     scored = queries.join(rows, F.lit(True)).select(
         key,
         F.transform(
-            "__u",
+            "__profile",
             lambda u: F.struct(dot(F.col(vector), u["centroid"]).alias("similarity"), (-u["route_ix"]).alias("rank"), u["route_name"].alias("route_name"), u["action"].alias("action"), u["threshold"].alias("threshold")),
         ).alias("s"),
     )

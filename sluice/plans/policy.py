@@ -146,3 +146,26 @@ def resolve(contexts: DataFrame, base: Policy = Policy()) -> DataFrame:
 def context_key(context: dict) -> str:
     """A digest of a context without its metadata."""
     return hashlib.sha256(json.dumps({k: v for k, v in context.items() if k != "metadata"}, sort_keys=True).encode()).hexdigest()[:16]
+
+
+def is_empty(override: Column) -> Column:
+    """Whether an override, a struct of OVERRIDE, leaves every policy as it is: all its fields are null."""
+    names = [x.split(":")[0] for x in OVERRIDE.removeprefix("struct<").removesuffix(">").split(",") if ":" in x]
+    return F.forall(F.array(*[override[x].isNull() for x in names]), lambda x: x)
+
+
+def resolver_rates(contexts: DataFrame) -> DataFrame:
+    """(cache_size, hits, misses, hit_rate in per cent with one decimal) of resolve(), one row: equal contexts hit."""
+    n = contexts.groupBy(*LAYERS).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("misses"))
+    hits = F.col("n") - F.col("misses")
+    return n.select(F.col("misses").alias("cache_size"), hits.alias("hits"), "misses", F.round(hits / F.greatest("n", F.lit(1)) * 100, 1).alias("hit_rate"))
+
+
+def effective(policy: Column) -> Column:
+    """The policy of resolve() by what it governs: struct (pii (enabled, entities, action, threshold), content (enabled,
+    blocked_categories, check_input, check_output))."""
+    p = policy
+    pii = F.struct(p["pii_enabled"].alias("enabled"), p["pii_entities"].alias("entities"), p["pii_action"].alias("action"), p["pii_threshold"].alias("threshold"))
+    either = p["block_on_unsafe_input"] | p["block_on_unsafe_output"]
+    content = F.struct(either.alias("enabled"), p["blocked_categories"].alias("blocked_categories"), p["block_on_unsafe_input"].alias("check_input"), p["block_on_unsafe_output"].alias("check_output"))
+    return F.struct(pii.alias("pii"), content.alias("content"))
