@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Characters that separate words, as in every contract of this package.
@@ -119,6 +120,24 @@ def whole(df: DataFrame, name: str = "row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 
 
+def _has_map(kind) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def comparable(df: DataFrame) -> Column:
+    """All columns of a row as one struct that can be ordered and hashed: those with maps as JSON."""
+    return F.struct(*[F.to_json(F.struct(F.col(f"`{f.name}`"))).alias(f.name) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def has_map(df: DataFrame) -> bool:
+    """Whether a column of df can be neither ordered nor hashed."""
+    return _has_map(df.schema)
+
+
 def unwrap(df: DataFrame, like: DataFrame, name: str = "row") -> DataFrame:
     return df.select(*[F.col(f"{name}.`{c}`").alias(c) for c in like.columns])
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import SPACE, Scratch, whole
+from sluice.llm.common import SPACE, Scratch, comparable, has_map, whole
 
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 28
@@ -75,13 +75,17 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs that stay, with all their columns: one for each distinct normalised text.
 
     Rows that the filter shows to be alone never shuffle.  Among the rest each task first keeps its least row of a
-    text (id, then the other columns; null ids last), so a hot group sends one row for each task.
+    text (id, then the other columns, those with maps as JSON; null ids last), so a hot group sends one row for each task.
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    keyed = docs.select(F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"), F.col(id_col).isNull().alias("__none"), F.col(id_col).alias("__id"), whole(docs))
+    keyed = docs.select(F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"), F.col(id_col).isNull().alias("__none"), F.col(id_col).alias("__id"), whole(docs), *([comparable(docs).alias("__order")] if has_map(docs) else []))
     prints = scratch.write(keyed.select("text_sha256"))
     bloom, bits = repeated_filter(prints, prints.count())
     marked = probe(keyed, scratch.write(bloom), bits)
-    first = marked.where("maybe").groupBy("text_sha256").agg(F.min(F.struct("__none", "__id", "row")).alias("least"))
-    rows = marked.where("not maybe").select("row").unionByName(first.select("least.row"))
+    if has_map(docs):
+        least = F.min_by("row", F.struct("__none", "__id", "__order"))
+    else:
+        least = F.min(F.struct("__none", "__id", "row"))["row"]
+    first = marked.where("maybe").groupBy("text_sha256").agg(least.alias("row"))
+    rows = marked.where("not maybe").select("row").unionByName(first.select("row"))
     return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import SPACE, Scratch, exact_rank, seeded, ship, whole
+from sluice.llm.common import SPACE, Scratch, comparable, exact_rank, seeded, ship, whole
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -157,16 +157,16 @@ def mixed_documents(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text
     # a document's copies are decided by id, source and size, which rows repeated in docs share; they are numbered alike
     times = plan.select("__id", "source", "size", "pick", "times")
     times = scratch.write(times.groupBy("__id", "source", "size").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows")))
-    keyed = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), whole(docs))
+    keyed = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(comparable(docs)).alias("__hash"), whole(docs))
     on = keyed["__id"].eqNullSafe(times["__id"]) & keyed["source"].eqNullSafe(times["source"]) & (keyed["size"] == times["size"])
     few = times.where("rows = 1 and times > 0")
     many = times.where("rows > 1 and times > 0")
     plain = keyed.join(few, on).select("row", "times")
     # of rows repeated with one id, source and size, the first get the copies
-    shared = keyed.join(many, on).select(keyed["__id"], keyed["source"], keyed["size"], "row", "times", "rows")
+    shared = keyed.join(many, on).select(keyed["__id"], keyed["source"], keyed["size"], "__hash", "row", "times", "rows")
     from pyspark.sql.window import Window
 
-    order = Window.partitionBy("__id", "source", "size").orderBy(F.xxhash64("row"))
+    order = Window.partitionBy("__id", "source", "size").orderBy("__hash")
     nth = F.row_number().over(order) - 1
     each = (F.floor(F.col("times") / F.col("rows")) + (nth < F.col("times") % F.col("rows")).cast("long")).cast("long")
     shared = shared.select("row", each.alias("times")).where("times > 0")

@@ -183,3 +183,12 @@ def test_shards_with_little_room(spark, text):
     hot = rows["text_crc32"] == zlib.crc32(b"t-1")
     assert _cut(rows[~hot]) <= 40
     assert rows[hot]["shard"].nunique() <= 30
+
+
+def test_mixing_beside_a_map(spark):
+    rows = [(i % 7, "w " * (i % 7 + 1), "ab"[i % 7 % 2], {"i": i}) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string,int>")
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    taken = mixing.mix_sources(df).agg(F.sum("taken")).first()[0]
+    assert sum(len(r["text"].split()) for r in out.collect()) == taken > 0

@@ -253,3 +253,11 @@ def test_passages_at_any_word(spark, stops):
     assert len(got[200]["text"].split()) == 5 + 55 + 9 + 3
     assert 201 not in got and got[202]["text"].split() == texts[202].split()[125:]
     assert got[203]["text"].startswith("w w w w")
+
+
+def test_exact_beside_a_map(spark):
+    rows = [(2, "a b", {"k": 1}, [{"x": 1}]), (1, "a  b", {"k": 3}, None), (1, "a b", {"k": 2}, None), (3, "c", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>, deep array<map<string,int>>")
+    got = exact_dedup.drop_exact_duplicates(df).collect()
+    assert sorted((r["doc_id"], r["text"], (r["more"] or {}).get("k")) for r in got) == [(1, "a  b", 3), (3, "c", None)]
+    assert sorted(map(str, got)) == sorted(map(str, exact_dedup.drop_exact_duplicates(df.repartition(3)).collect()))
