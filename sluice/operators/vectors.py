@@ -35,7 +35,8 @@ REASONS = {
 def l2(v: Column) -> Column:
     """The unit vector; a zero vector stays."""
     n = F.sqrt(dot(v, v))
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    unit = F.transform(F.array(n), lambda m: F.transform(v, lambda x: x.cast("double") / m))[0]  # one norm for all elements
+    return F.when(n > 0, unit).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
 def mean_vector(df: DataFrame, keys: list[str], vector: str, out: str = "centroid") -> DataFrame:

@@ -1,5 +1,6 @@
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,41 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def _plain_dot(a, b):
+    if a is None or b is None or len(a) != len(b) or None in a or None in b:
+        return None
+    total = 0.0
+    for x, y in zip(a, b):
+        total += x * y
+    return total
+
+
+def test_speed_check_writes_no_pairs(spark, monkeypatch):
+    """Tiles give what all pairs give: ties, nulls, NaN, infinities, odd lengths, and responses without one side."""
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=5)
+    odd = [None, [], [1.0, None, 0.0, 0.0, 0.0], [float("nan")] * 5, [float("inf"), 0.0, 0.0, 0.0, 0.0], [1e200] * 5, [0.0] * 5, [1.0, 2.0]]
+    vector = lambda i: odd[i % 8] if i % 11 == 0 else (near + 1e-17 * (i % 3)).tolist() if i % 4 == 0 else rng.normal(size=5).tolist()
+    resp = lambda i: None if i % 97 == 0 else "ab" if i % 2 else f"r{i % 29}"
+    left = [(resp(i), i, vector(i)) for i in range(400)] + [("alone", 1, [1.0] * 5), ("nothing", 2, [1.0] * 5), ("long", 3, [1.0])]
+    right = [(resp(i), i // 2, f"c{i % 5}" * 99, vector(3 * i)) for i in range(500)] + [("unread", 1, "x", [1.0] * 5), ("nothing", 7, "n", None), ("nothing", 6, "m", [1.0]), ("long", None, "z", [2.0]), ("long", 5, None, [2.0])]
+    c = spark.createDataFrame(left, "resp_id string, claim_ix int, vec array<double>").repartition(3)
+    s = spark.createDataFrame(right, "resp_id string, chunk_ix long, chunk string, vec array<double>").repartition(5)
+    want = {}
+    rank = lambda v: (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v)
+    for k, i, v in left:
+        pairs = [(rank(_plain_dot(v, w)), (j is not None, -(j or 0)), (t is not None, (t or "")[:200]), _plain_dot(v, w)) for r, j, t, w in right if r == k and k is not None]
+        if pairs:
+            top = max(pairs, key=lambda p: p[:3])
+            want[k, i] = (repr(top[3]), top[2][1] if top[2][0] else None)
+    for tile, side, group in ((1 << 18, 1 << 22, 1 << 20), (500, 1 << 22, 100), (1 << 40, 150, 1 << 20)):
+        monkeypatch.setattr(grounding, "TILE", tile)
+        monkeypatch.setattr(grounding, "SIDE", side)
+        monkeypatch.setattr(grounding, "GROUP", group)
+        out = grounding.speed_check(c, s)
+        rows = out.collect()
+        assert len(rows) == len(want)
+        assert {(r["resp_id"], r["claim_ix"]): (repr(r["score"]), r["matched_chunk"]) for r in rows} == want
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "")
