@@ -189,3 +189,15 @@ def test_speed_check_writes_no_pairs(spark, monkeypatch):
         assert len(rows) == len(want)
         assert {(r["resp_id"], r["claim_ix"]): (repr(r["score"]), r["matched_chunk"]) for r in rows} == want
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "")
+
+
+def test_totals_of_searched_claims(spark):
+    """Totals meet claims and chunks in tiles alone: 1,200 claims and 1,000 chunks of one response, no row for a pair."""
+    claim_rows = spark.range(1200).select(F.lit(1).alias("resp_id"), F.col("id").alias("claim_ix"), F.array(F.lit(1.0), (F.col("id") % 4).cast("double")).alias("vec"))
+    chunks = spark.range(1000).select(F.lit(1).alias("resp_id"), F.col("id").alias("chunk_ix"), F.lit("c").alias("chunk"), F.array(F.lit(0.2), (F.col("id") % 3 / 10).cast("double")).alias("vec"))
+    responses = spark.createDataFrame([(1, True), (2, True), (3, False)], "resp_id int, has_sources boolean")
+    done = grounding.totals(grounding.speed_check(claim_rows, chunks), responses)
+    got = {r["resp_id"]: (r["is_grounded"], r["faithfulness_score"], r["sentence_count"], r["grounded_count"], r["uncertain_count"], r["ungrounded_count"]) for r in done.collect()}
+    # the best chunk is (0.2, 0.2): 0.2, 0.4, 0.6 and 0.8
+    assert got == {1: (True, 0.5, 1200, 600, 300, 300), 2: (True, 1.0, 0, 0, 0, 0), 3: (False, 0.0, 0, 0, 0, 0)}
+    assert "Join Inner" not in done._jdf.queryExecution().optimizedPlan().toString()
