@@ -11,6 +11,8 @@ from sluice.functions import fixed as K
 
 ENTITY = "struct<text:string,label:string,score:double,start:int,end:int,method:string>"
 ENTITIES = f"array<{ENTITY}>"
+#: Places of a term that are summed together.
+BLOCK = 32
 
 
 def _none() -> Column:
@@ -104,12 +106,39 @@ def regex_entities(text: Column, labels: list[str] | None = None, custom: dict[s
     return F.concat(*out) if out else _none()
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once: what stands in a lambda is evaluated for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _places(text: Column, term: str) -> Column:
-    """Entities of every place of a term, case aside."""
+    """Entities of every place of a term, case aside.
+
+    The lower-cased text is split before each place; sums of the lengths are the places.  They are taken in blocks, so
+    that neither the places nor the text are gone through anew for each of them.
+    """
     low, n = term.lower(), len(term)
-    at = F.filter(F.sequence(F.lit(0), F.length(text)), lambda i: F.substr(F.lower(text), i + 1, F.lit(n)) == low)
-    found = F.transform(at, lambda i: entity(F.substr(text, i + 1, F.lit(n)), F.lit("deny_list"), F.lit(1.0), i, i + n, F.lit("deny_list")))
-    return F.when(F.lower(text).contains(low), found.cast(ENTITIES)).otherwise(_none())
+    item = lambda hit, at: entity(hit, F.lit("deny_list"), F.lit(1.0), at, at + n, F.lit("deny_list"))
+    if not low:
+        return F.when(text.isNotNull(), F.transform(F.sequence(F.lit(0), F.length(text)), lambda i: item(F.lit(""), i)).cast(ENTITIES)).otherwise(_none())
+    place = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    block = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,size:int,inside:array<int>>>").alias("out"))
+
+    def inside(sizes):
+        return F.aggregate(sizes, place, lambda a, size: F.struct((a["at"] + size).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def blocks(sizes):
+        add = lambda a, p: F.struct((a["at"] + p["at"]).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), p["at"].alias("size"), p["out"].alias("inside")))).alias("out"))
+        parts = F.transform(F.sequence(F.lit(1), F.size(sizes), F.lit(BLOCK)), lambda x: inside(F.slice(sizes, x, BLOCK)))
+        return F.aggregate(parts, block, add, lambda a: a["out"])
+
+    def entities(t, lower):
+        sizes = F.transform(F.split(lower, f"(?={re.escape(low)})", -1), lambda p: F.length(p))
+        cut = lambda b: _let(F.substr(t, b["at"] + 1, b["size"] + n), lambda c: F.transform(b["inside"], lambda i: item(F.substr(c, i + 1, F.lit(n)), b["at"] + i)))
+        every = F.flatten(F.transform(_let(sizes, blocks), cut))
+        return F.slice(every, F.when(lower.startswith(low), 1).otherwise(2), 1 << 30).cast(ENTITIES)  # the first piece may be none
+
+    return _let(text, lambda t: _let(F.lower(t), lambda lower: F.when(lower.contains(low), entities(t, lower)).otherwise(_none())))
 
 
 def deny_entities(text: Column, terms: list[str]) -> Column:

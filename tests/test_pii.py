@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -77,3 +78,17 @@ def test_merge_keeps_the_better(spark):
     e = lambda label, score, a, b: P.entity(F.lit("x"), F.lit(label), F.lit(score), F.lit(a), F.lit(b), F.lit("m"))
     row = spark.range(1).select(P.merge(F.array(e("a", 0.6, 0, 10), e("b", 0.85, 2, 9), e("c", 0.7, 20, 25)), F.array(e("n", 0.9, 21, 25), e("o", 0.4, 40, 44))).alias("m")).first()["m"]
     assert [(x["label"], round(x["score"], 2)) for x in row] == [("b", 0.85), ("c", 0.75), ("o", 0.4)]
+
+
+def test_deny_places_in_long_texts(spark):
+    """All places as find() gives them, also overlapping ones, at both ends, beside emoji, and many in a long text."""
+    texts = ["an an a", "An A", "😀 an an an a 😀 xAN a", "x", "", None, "a.a.a a+a", "line\nan a", "\\Ean a\\Q", "an " * 700 + "an a", "😀b " * 9000 + "An a" * 70 + "z" * 9000]
+    terms = ["an a", "a.a", "\\E", "n", "😀", "a\n", "\nA"]
+    got = run(spark, texts, lambda c: P.deny_entities(c, terms))
+    for t, g in zip(texts, got):
+        want = [(t[i : i + len(d)], i, i + len(d)) for d in sorted(terms) for i in range(len(t)) if t[i : i + len(d)].lower() == d.lower()] if t else []
+        assert [(e["text"], e["start"], e["end"]) for e in g] == want
+    assert [[e["start"] for e in g] for g in run(spark, ["ab", None], lambda c: P.deny_entities(c, [""]))] == [[0, 1, 2], []]
+    began = time.monotonic()
+    (long,) = run(spark, ["no word of it here, " * 15000 + "contact"], lambda c: P.deny_entities(c, ["contact"]))
+    assert [e["start"] for e in long] == [300000] and time.monotonic() - began < 60
