@@ -20,6 +20,10 @@ MOST = 2
 #: Words of budget that are left to the exact knapsack; what is above is taken in proportion and from the longest down.
 EXACT = 4096
 BUCKETS = 4096
+#: The seeded order of documents of one source and length.
+PLACE = ("bucket", "pick", "__id")
+#: Sources and lengths whose cuts are broadcast (some 50 MB).
+CUTS = 1 << 19
 
 
 def word_count(text: Column) -> Column:
@@ -107,8 +111,9 @@ def _fit_source(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["source", "size", "take"]]
 
 
-def _plan(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows (source, size, __id, bucket, ...) with source_size, target, times (copies that the mix holds)."""
+def _fits(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(source, source_size, target, base, rest) of each source, and (source, size, take) of each length: of the
+    documents of a length the first take in the seeded order get one copy more than base."""
     spark = rows.sparkSession
     by_source = rows.groupBy("source").agg(F.sum("size").alias("s")).collect()  # a row for each source
     by_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -122,6 +127,12 @@ def _plan(rows: DataFrame, scratch: Scratch) -> DataFrame:
     counts = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.join(dim, counts.source.eqNullSafe(dim.source)).select(counts.source, "size", "n", "rest")
     fits = scratch.write(counts.groupBy("source").applyInPandas(_fit_source, "source string, size long, take long"))
+    return dim, fits
+
+
+def _plan(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (source, size, __id, bucket, ...) with source_size, target, times (copies that the mix holds)."""
+    dim, fits = _fits(rows, scratch)
     ranked = exact_rank(rows, ["source", "size"], "bucket", ["pick", "__id"], "r")
     f = fits.select(F.col("source").alias("__src"), F.col("size").alias("__size"), "take")
     out = ranked.join(f, ranked.source.eqNullSafe(f["__src"]) & (ranked["size"] == f["__size"]))
@@ -149,26 +160,46 @@ def mix_sources(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col
     return out.select(F.col("__id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def _cuts(rows: DataFrame, fits: DataFrame, few: bool) -> DataFrame:
+    """(__src, __size, cut, k) for each length of which documents are taken: those before cut in the seeded order, and
+    k of the rows that share its place and id; all where cut is null."""
+    f = fits.where("take > 0").select(F.col("source").alias("__src"), F.col("size").alias("__size"), "take")
+    ranked = exact_rank(rows, ["source", "size"], "bucket", ["pick", "__id"], "r")
+    places = ranked.groupBy("source", "size", *PLACE).agg(F.min("r").alias("first"), F.count(F.lit(1)).alias("m"))
+    known = F.broadcast(f) if few else f
+    at = places.join(known, places.source.eqNullSafe(f["__src"]) & (places["size"] == f["__size"])).where("first <= take and take < first + m")
+    at = at.select("source", "size", F.struct(*PLACE).alias("cut"), (F.col("take") - F.col("first")).alias("k"))
+    return f.join(at, f["__src"].eqNullSafe(at.source) & (f["__size"] == at["size"]), "left").select("__src", "__size", "cut", F.coalesce("k", F.lit(0)).alias("k"))
+
+
 def mixed_documents(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of the mix with all columns of docs, as often as they are taken."""
+    """The rows of the mix with all columns of docs, as often as they are taken.
+
+    Whole rows are only scanned: the place up to which documents of a source and length are taken travels to them.
+    Beyond CUTS sources and lengths they take a shuffle.
+    """
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "mix")
-    plan = _plan(scratch.write(_rows(docs, seed, id_col, text_col, source_col)), scratch)
-    # a document's copies are decided by id, source and size, which rows repeated in docs share; they are numbered alike
-    times = plan.select("__id", "source", "size", "pick", "times")
-    times = scratch.write(times.groupBy("__id", "source", "size").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows")))
-    keyed = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(comparable(docs)).alias("__hash"), whole(docs))
-    on = keyed["__id"].eqNullSafe(times["__id"]) & keyed["source"].eqNullSafe(times["source"]) & (keyed["size"] == times["size"])
-    few = times.where("rows = 1 and times > 0")
-    many = times.where("rows > 1 and times > 0")
-    plain = keyed.join(few, on).select("row", "times")
-    # of rows repeated with one id, source and size, the first get the copies
-    shared = keyed.join(many, on).select(keyed["__id"], keyed["source"], keyed["size"], "__hash", "row", "times", "rows")
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("__id", "source", "size").orderBy("__hash")
-    nth = F.row_number().over(order) - 1
-    each = (F.floor(F.col("times") / F.col("rows")) + (nth < F.col("times") % F.col("rows")).cast("long")).cast("long")
-    shared = shared.select("row", each.alias("times")).where("times > 0")
-    out = plain.unionByName(shared).select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    rows = scratch.write(_rows(docs, seed, id_col, text_col, source_col))
+    dim, fits = _fits(rows, scratch)
+    few = fits.where("take > 0").count() <= CUTS
+    cuts = scratch.write(_cuts(rows, fits, few))
+    keyed = _rows(docs, seed, id_col, text_col, source_col, F.xxhash64(comparable(docs)).alias("__hash"), whole(docs))
+    known = (F.broadcast(cuts) if few else cuts).withColumn("__held", F.lit(True))
+    each = keyed.join(known, keyed.source.eqNullSafe(cuts["__src"]) & (keyed["size"] == cuts["__size"]), "left")
+    each = each.join(dim.select(F.col("source").alias("__dim"), "base"), F.col("source").eqNullSafe(F.col("__dim")))
+    place = F.struct(*PLACE)
+    more = F.col("__held").isNotNull() & (F.col("cut").isNull() | F.coalesce(place < F.col("cut"), F.lit(False)))
+    shared = F.coalesce((F.col("k") > 0) & (place == F.col("cut")), F.lit(False))
+    if cuts.where("k > 0").limit(1).count():
+        # of rows repeated with the id of a cut, the first get a copy more
+        from pyspark.sql.window import Window
+
+        order = Window.partitionBy("__id", "source", "size").orderBy("__hash")
+        last = each.where(shared).withColumn("nth", F.row_number().over(order))
+        out = each.where(~shared).select("row", (F.col("base") + more.cast("long")).alias("times"))
+        out = out.unionByName(last.select("row", (F.col("base") + (F.col("nth") <= F.col("k")).cast("long")).alias("times")))
+    else:
+        out = each.select("row", (F.col("base") + more.cast("long")).alias("times"))
+    out = out.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -192,3 +192,28 @@ def test_mixing_beside_a_map(spark):
     assert out.columns == df.columns
     taken = mixing.mix_sources(df).agg(F.sum("taken")).first()[0]
     assert sum(len(r["text"].split()) for r in out.collect()) == taken > 0
+
+
+@pytest.mark.parametrize("cuts", [1 << 19, 0])
+def test_mixing_scans_whole_rows(spark, docs, monkeypatch, cuts):
+    """The mix holds each id as often as mix_sources takes it, repeated rows and null ids too; texts take no shuffle."""
+    monkeypatch.setattr(mixing, "CUTS", cuts)
+    again = docs.where("doc_id % 3 = 0").unionByName(docs.where("doc_id % 6 = 0")).unionByName(docs.where("doc_id < 40").withColumn("row", F.lit(2)))
+    none = docs.where("doc_id % 50 = 1").withColumn("doc_id", F.lit(None).cast("long"))
+    df = docs.unionByName(again).unionByName(none).unionByName(spark.range(60).select(F.lit(-5).alias("doc_id"), F.lit("one two").alias("text"), F.lit("rep").alias("source"), F.lit("c").alias("size"), F.col("id").cast("int").alias("row")))
+    taken = {}
+    for r in mixing.mix_sources(df).where("size > 0").collect():
+        taken[r["doc_id"], r["size"]] = taken.get((r["doc_id"], r["size"]), 0) + r["taken"] // r["size"]
+    out = mixing.mixed_documents(df)
+    held, rows = {}, {}
+    for r in out.collect():
+        n = len(WORD.findall(r["text"] or ""))
+        if n:
+            held[r["doc_id"], n] = held.get((r["doc_id"], n), 0) + 1
+        if r["doc_id"] == -5:
+            rows[r["row"]] = rows.get(r["row"], 0) + 1
+    assert held == {k: v for k, v in taken.items() if v}
+    assert max(rows.values()) - min([*rows.values(), *[0] * (len(rows) < 60)]) <= 1
+    unrepeated = mixing.mixed_documents(docs.dropDuplicates(["doc_id"]).localCheckpoint())
+    plan = unrepeated._jdf.queryExecution().executedPlan().toString()
+    assert cuts == 0 or ("SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan)
